@@ -64,11 +64,6 @@ def row_hash(*cols: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\0")) for c in cols]), 256)
 
 
-def set_digest(h: Column) -> Column:
-    """Order-free digest of row hashes, for row sets small enough for one value."""
-    return F.sha2(F.concat_ws("", F.sort_array(F.collect_list(h))), 256)
-
-
 def pct_change(before: Column, after: Column) -> Column:
     d = "decimal(38,8)"
     return F.coalesce((after - before).cast(d) / F.nullif(before.cast(d), F.lit(0).cast(d)) * 100, F.lit(0)).cast("decimal(18,4)")

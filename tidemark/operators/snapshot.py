@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import row_hash
 from tidemark.sources.bronze import multiset_fingerprint
 
 BUSINESS = ["order_key", "order_date", "order_status", "currency", "gross_amount", "gross_amount_usd", "net_amount_usd"]
@@ -38,14 +37,6 @@ def invariants(silver: DataFrame) -> DataFrame:
     )
 
 
-def content_hash(silver: DataFrame, columns: list[str] | None = None, prefix: int = 2) -> DataFrame:
-    """Order-free digest of business columns. Row hashes are digested by hash prefix on many tasks, then the few (16 to
-    the power ``prefix``) digests are digested together, so no task holds all rows."""
-    h = row_hash(*[F.col(c) for c in columns or BUSINESS])
-    part = silver.select(h.alias("h")).groupBy(F.substring("h", 1, prefix).alias("p")).agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256).alias("d"))
-    return part.agg(F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("p", "d"))), lambda x: x["d"])), 256).alias("digest"))
-
-
 def snapshot(silver: DataFrame) -> dict:
     """Counts, revenue and multiset fingerprint, computed on executors; one row reaches the driver."""
     t = totals(silver).first().asDict()
