@@ -108,24 +108,8 @@ def doc_of(off: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(off) - 1), np.diff(off))
 
 
-def gram_starts(off: np.ndarray, n: int) -> np.ndarray:
-    """Unit positions at which an n-gram inside one document starts."""
-    total = int(off[-1])
-    if total < n:
-        return np.zeros(0, dtype=np.int64)
-    ok = np.ones(total, dtype=bool)
-    for back in range(1, n):
-        at = off[1:] - back
-        ok[at[at >= off[:-1]]] = False
-    if (np.diff(off) < n).any():
-        short = np.flatnonzero(np.diff(off) < n)
-        for d in short:
-            ok[off[d] : off[d + 1]] = False
-    return np.flatnonzero(ok)
-
-
 def windows_ok(off: np.ndarray, n: int) -> np.ndarray:
-    """The same as ``gram_starts`` for long n, in time that does not depend on n."""
+    """Unit positions at which n units of one document start."""
     lens = np.maximum(np.diff(off) - n + 1, 0)
     total = int(lens.sum())
     if not total:

@@ -25,3 +25,10 @@ def op1_substring_dedup(spark, d):
     from tidemark.llm.substring_dedup import substring_dedup
 
     return substring_dedup(table(spark, d, "documents"), window=20).drop("kept_text")
+
+
+@query
+def op7_suffix_dedup(spark, d):
+    from tidemark.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, d, "documents"), length=200).drop("kept")
