@@ -26,19 +26,21 @@ def _spread(sa: np.ndarray, head: np.ndarray, pos: np.ndarray, ch: np.ndarray, s
     """Append positions to the buckets of their characters, in order, from the front (step 1) or the back (-1)."""
     if not len(pos):
         return
-    order = np.argsort(ch, kind="stable")
-    c = ch[order].astype(np.int64)
-    count = np.bincount(c, minlength=len(head))
-    rank = np.arange(len(c)) - np.concatenate(([0], np.cumsum(count)[:-1]))[c]
-    sa[head[c] + step * rank] = pos[order]
-    head += step * count
+    order = np.argsort(ch, kind="stable")  # 16-bit characters: a radix sort
+    c = ch[order]
+    first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+    count = np.diff(np.append(first, len(c)))
+    which = c[first]
+    shift = head[which] - step * first
+    sa[np.repeat(shift, count) + step * np.arange(len(c))] = pos[order]
+    head[which] += step * count
 
 
 def _induce(s: np.ndarray, small: np.ndarray, bounds: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """From sorted leftmost-smaller positions to all suffixes: larger types by ascending bucket, then smaller types by
     descending bucket. Each bucket is handled in rounds, since positions induced into the bucket itself come next."""
     k = len(bounds) - 1
-    sa = np.full(len(s), -1, dtype=np.int64)
+    sa = np.full(len(s), -1, dtype=np.int32 if len(s) < 1 << 31 else np.int64)
     head, seed_of = bounds[:-1].copy(), s[seeds].astype(np.int64)
     cut = np.searchsorted(seed_of, np.arange(k + 1))
     for c in range(k):
@@ -104,6 +106,7 @@ def suffix_array(s: np.ndarray, depth: int = 0) -> np.ndarray:
     n = len(s)
     if n < 3 or depth > MAX_DEPTH:
         return _doubling(s)
+    s = s.astype(np.uint16) if s.max() < 1 << 16 else s
     small = _smaller(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     bounds = np.concatenate(([0], np.cumsum(np.bincount(s))))

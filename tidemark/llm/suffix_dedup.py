@@ -43,8 +43,8 @@ def _fingerprints(length: int):
                 new = np.ones(len(doc), dtype=bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
                 first = np.flatnonzero(new)
-                many = np.diff(np.append(first, len(doc))) > 1
-                yield pa.RecordBatch.from_arrays([pa.array(t.as_i64(h[first])), pa.array(ids[a:z][doc[first]]), pa.array(ths[a:z][doc[first]]), pa.array(many)], names=["fp", *KEY, "many"])
+                first = np.repeat(first, np.minimum(np.diff(np.append(first, len(doc))), 2))  # two rows say that one document has it twice
+                yield pa.RecordBatch.from_arrays([pa.array(t.as_i64(h[first])), pa.array(ids[a:z][doc[first]]), pa.array(ths[a:z][doc[first]])], names=["fp", *KEY])
 
     return run
 
@@ -167,14 +167,16 @@ def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     # Each exchange below is named, so that the two readers of it (an aggregate and a join on the same key) share it.
-    fps = base.select(*KEY, "text").mapInArrow(_fingerprints(length), "fp bigint, _id bigint, _th bigint, many boolean").repartition(parts, "fp")
+    fps = base.select(*KEY, "text").mapInArrow(_fingerprints(length), "fp bigint, _id bigint, _th bigint").repartition(parts, "fp")
     key = F.struct(*KEY)
-    shared = fps.groupBy("fp").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.max("many").alias("m")).where("m or lo <> hi").select("fp")
+    shared = fps.groupBy("fp").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("c")).where("c > 1 or lo <> hi").select("fp")
     lists = fps.join(shared.hint("merge"), "fp", "left_semi").groupBy(*KEY).agg(F.collect_set("fp").alias("fps"))
     runs = base.join(lists.hint("merge"), KEY).mapInArrow(_shared_runs(length), "h bigint, fp bigint, _id bigint, _th bigint, start int, n int").repartition(parts, "h")
     at = F.struct(*KEY, "start", "n")
     variants = runs.groupBy("h").agg(F.min("fp").alias("fp"), F.min(at).alias("lo"), F.max(at).alias("hi"))
-    whole = runs.join(variants.where("lo <> hi").select("h").hint("merge"), "h", "left_semi").select(*KEY, "start", "n")
+    # The condition on fp always holds; it makes this join read the columns that the aggregate reads.
+    several = variants.where("lo <> hi").select("h", "fp").hint("merge")
+    whole = runs.alias("r").join(several.alias("v"), (F.col("r.h") == F.col("v.h")) & (F.col("r.fp") - F.col("v.fp") == 0), "left_semi").select(*KEY, "start", "n")
     # Runs whose anchor has another run: partly repeated, perhaps.
     partly = variants.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("fp"))).where("c > 1")
     flagged = F.col("lo.n") + F.when(F.col("lo") == F.col("hi"), SINGLE).otherwise(0) + F.when(F.col("c") > HOT_RUNS, HOT).otherwise(0)
