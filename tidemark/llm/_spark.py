@@ -36,9 +36,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, *extra: str) -> DataFrame:
-    """doc_id, text and the internal row key (_id, _th). A null id counts as the smallest; rows with equal id and text
-    share a key and so a result; equal ids with different texts stay apart."""
-    return docs.select("doc_id", "text", *extra, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("_id"), F.xxhash64("text").alias("_th"))
+    """doc_id, text and the internal row key (_id, _th). A null id counts as the smallest. Where ids are unique (checked
+    over the id column alone) _th is 0; else it is a hash of the text, so that rows with equal id and text share a key
+    and a result, and equal ids with different texts stay apart."""
+    own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
+    unique = docs.select(own.alias("i")).groupBy("i").count().where("count > 1").isEmpty()
+    th = F.lit(0).cast("bigint") if unique else F.xxhash64("text")
+    return docs.select("doc_id", "text", *extra, own.alias("_id"), th.alias("_th"))
 
 
 KEY = ["_id", "_th"]

@@ -9,6 +9,7 @@ they are compacted into one sorted run.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from functools import reduce
@@ -107,7 +108,7 @@ def _window_hashes(window: int):
                 own = np.repeat(doc, n)
                 h = t.span_hash(t.mix(t.word_hashes(b, s, e), 5), at, at + window)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(t.as_i64(h)), pa.array(ids[a:z][own]), pa.array(ths[a:z][own]), pa.array((at - woff[own]).astype(np.int32)), pa.array(np.ones(len(at), dtype=np.int32))], names=["h", *KEY, "start", "n"]
+                    [pa.array(t.as_i64(h)), pa.array(ids[a:z][own]), pa.array(ths[a:z][own]), pa.array((at - woff[own]).astype(np.int32))], names=["h", *KEY, "start"]
                 )
 
     return run
@@ -201,6 +202,9 @@ class FingerprintIndex:
             self.links.append(old.join(fresh.hint("merge"), "fp", "left_semi").select("fp", *KEY))
         self.links.append(own.select("fp", *KEY))
         self.runs.append(name)
+        # The run is on disk: let Spark's cleaner drop the shuffle files that wrote it.
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def compact(self, force: bool = False) -> None:
         """Merge all runs into one sorted run once there are more than the fan-in."""
@@ -237,7 +241,11 @@ def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, extra:
     spans = base.join(index.shared().hint("merge"), KEY).mapInArrow(_shared_spans(window, index.gram), "h bigint, _id bigint, _th bigint, start int, n int")
     runs = later_than_first(spans)
     firsts = packed_runs(runs.where("not later"))
-    single = base.join(firsts.hint("merge"), KEY).mapInArrow(_window_hashes(window), "h bigint, _id bigint, _th bigint, start int, n int")
-    gone = runs.where("later").drop("later").unionByName(later_than_first(single).where("later").drop("later"))
+    # One exchange by hash serves the aggregate and the join.
+    single = base.join(firsts.hint("merge"), KEY).mapInArrow(_window_hashes(window), "h bigint, _id bigint, _th bigint, start int").repartition(index.buckets, "h")
+    at = F.struct(*KEY, "start")
+    origin = single.groupBy("h").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi").select("h", "lo")
+    again = single.join(origin.hint("merge"), "h").where(at != F.col("lo")).select("h", *KEY, "start", F.lit(1).alias("n"))
+    gone = runs.where("later").drop("later").unionByName(again)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string" + "".join(f", _keep_{c} {docs.schema[c].dataType.simpleString()}" for c in extra or [])
     return base.join(packed_runs(gone).hint("merge"), KEY, "left").mapInArrow(_removed(window), schema)
