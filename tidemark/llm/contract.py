@@ -32,3 +32,26 @@ def op7_suffix_dedup(spark, d):
     from tidemark.llm.suffix_dedup import suffix_dedup
 
     return suffix_dedup(table(spark, d, "documents"), length=200).drop("kept")
+
+
+@query
+def op10_mixing(spark, d):
+    from tidemark.llm.mixing import mix
+
+    return mix(table(spark, d, "documents").select("doc_id", "source", "text")).drop("source", "epochs")
+
+
+@query
+def op2_url_filter(spark, d):
+    from tidemark.llm.url_filter import url_filter
+
+    return url_filter(table(spark, d, "pages").select("page_id", "url"))
+
+
+ORACLE["op2_url_filter"] = """
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, CASE WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/' WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r"""
