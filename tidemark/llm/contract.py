@@ -55,3 +55,17 @@ r AS (SELECT *, CASE WHEN ends_with('.' || host, '.example.net') AND starts_with
   WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/' WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+
+
+@query
+def op5_license_scan(spark, d):
+    from tidemark.llm.license_scan import license_scan
+
+    return license_scan(table(spark, d, "documents")).drop("spans")
+
+
+@query
+def op3_quality(spark, d):
+    from tidemark.llm.quality import quality_scores
+
+    return quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
