@@ -69,3 +69,17 @@ def op3_quality(spark, d):
     from tidemark.llm.quality import quality_scores
 
     return quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op6_decontaminate(spark, d):
+    from tidemark.llm.decontaminate import leaks
+
+    return leaks(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("_id", "_th")
+
+
+@query
+def op4_near_dedup(spark, d):
+    from tidemark.llm.near_dedup import near_classes
+
+    return near_classes(table(spark, d, "documents")).select("doc_id", "class_id", "kept")
