@@ -83,3 +83,10 @@ def op4_near_dedup(spark, d):
     from tidemark.llm.near_dedup import near_classes
 
     return near_classes(table(spark, d, "documents")).select("doc_id", "class_id", "kept")
+
+
+@query
+def op8_lm_score(spark, d):
+    from tidemark.llm.lm_score import lm_scores
+
+    return lm_scores(table(spark, d, "documents"))
