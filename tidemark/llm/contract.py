@@ -90,3 +90,19 @@ def op8_lm_score(spark, d):
     from tidemark.llm.lm_score import lm_scores
 
     return lm_scores(table(spark, d, "documents"))
+
+
+@query
+def op9_media(spark, d):
+    from tidemark.llm.media import align, fingerprints, sonified
+
+    return align(fingerprints(sonified(table(spark, d, "embeddings")), "id"))
+
+
+def pipeline(spark, d):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
+
+
+QUERIES["pipeline"] = pipeline
