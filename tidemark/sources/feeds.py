@@ -24,7 +24,7 @@ class Feed:
 
     def bound_query(self, iv: Interval) -> str:
         """Half-open slice as text for a database that evaluates the clock itself."""
-        lo, hi = (f"TIMESTAMP '{t.strftime('%Y-%m-%d %H:%M:%S')}'" for t in (iv.start, iv.end))
+        lo, hi = (f"{{ts '{t.strftime('%Y-%m-%d %H:%M:%S')}'}}" for t in (iv.start, iv.end))  # JDBC escape, portable
         return f"SELECT * FROM {self.source_table} WHERE {self.clock_sql} >= {lo} AND {self.clock_sql} < {hi}"
 
     def slice(self, log: DataFrame, iv: Interval) -> DataFrame:
