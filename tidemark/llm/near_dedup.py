@@ -4,7 +4,8 @@ A document is a bag of five-word shingles, its weights their counts. Each shingl
 split hierarchically into dyadic weight blocks; points below the document's count are dealt to registers, and the earliest
 point of each register is the signature, so two registers agree with the weighted Jaccard's probability. Points come in
 order of time and stop once they pass the document's latest register. Bands of registers meet in buckets; members are verified by
-exact multiset overlap against two pivots of their bucket, and verified links join to classes.
+exact multiset overlap against pivots of their bucket, and verified links join to classes. Buckets that still hold several
+classes get more pivots each round; once few pairs of different classes are left, all of those are verified.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from tidemark.llm._spark import KEY, keyed, written
 SHINGLE = 5
 ROWS, BANDS = 5, 26
 CHUNK = 4 << 20
+#: Pivots of a bucket in the first extra round, and pairs between classes a bucket row that are verified at once.
+PIVOTS, PAIRS_A_ROW = 8, 4
 
 
 def bag(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,6 +132,43 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
 
 
+def links_of(pairs: DataFrame, base: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose texts overlap by ``threshold`` or more."""
+    node = F.struct(*KEY)
+    others = base.select(node.alias("b"), F.col("text").alias("ptext"))
+    both = pairs.join(others, "b").join(base.select(node.alias("a"), "text"), "a").select("a", "b", "text", "ptext")
+    kind = "struct<_id:bigint,_th:bigint>"
+    return both.mapInArrow(_verify(threshold), f"a {kind}, b {kind}")
+
+
+def mixed_buckets(bands: DataFrame, root: DataFrame) -> DataFrame:
+    """Rows (band, v, c, n, big) of the buckets that hold several classes: member, its class, size and largest class of the bucket."""
+    own = bands.join(root, "v", "left").select("band", "v", F.coalesce("root", "v").alias("c"))
+    sizes = own.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
+    several = sizes.groupBy("band").agg(F.sum("k").alias("n"), F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    return own.join(several.select("band", "n", F.col("m.c").alias("big")), "band")
+
+
+def between_classes(bands: DataFrame, root: DataFrame, base: DataFrame, threshold: float) -> DataFrame:
+    """``root`` after every pair of one bucket and different classes has been verified, so no link is lost to the choice of
+    pivots. Rounds with ever more pivots a bucket join classes first; the last one takes every member outside its bucket's
+    largest class against the members of other classes. Only counts reach the driver."""
+    rows, pivots, last = bands.count(), PIVOTS, False
+    while not last:
+        mixed = written(mixed_buckets(bands, root), "mixed")
+        left, most = mixed.agg(F.sum(F.expr("if(c <> big, n, 0)")), F.max("n")).first()
+        if not left:
+            break
+        last = left <= PAIRS_A_ROW * rows or pivots >= most
+        chosen = F.expr("c <> big") if last else F.pmod(F.xxhash64("v", "band", F.lit(pivots)), F.col("n")) < pivots
+        pivot = mixed.where(chosen).select("band", F.col("v").alias("b"), F.col("c").alias("cb"))
+        pairs = mixed.select("band", F.col("v").alias("a"), "c").join(pivot, "band").where("c <> cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        links = links_of(written(pairs, "pairs"), base, threshold)
+        root = components(root.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(links))
+        pivots *= 4
+    return root
+
+
 def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row a document: doc_id, _id, _th, class_id (smallest doc_id of its class) and kept (it is its class's first).
 
@@ -149,14 +189,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     pivots = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("p"), F.min(F.struct(F.xxhash64("v", "band").alias("r"), "v")).alias("q")).where("n > 1")
     pivots = pivots.select("band", F.explode(F.array("p", "q.v")).alias("b"))
     pairs = bands.select("band", F.col("v").alias("a")).join(pivots, "band").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
-    text = base.select(*KEY, "text")
-    pivot_text = text.select(node.alias("b"), F.col("text").alias("ptext"))
-    with_pivot = pairs.join(pivot_text, "b").select("a", "b", "ptext")
-    both = with_pivot.join(text.select(node.alias("a"), "text"), "a").select("a", "b", "text", "ptext")
-    kind = "struct<_id:bigint,_th:bigint>"
-    links = both.mapInArrow(_verify(threshold), f"a {kind}, b {kind}")
-    root = components(links)
+    root = components(links_of(written(pairs, "pairs"), base, threshold))
+    root = between_classes(bands, root, base, threshold)
     out = member.join(root.select(F.col("v").alias("rep"), "root"), "rep", "left").select("v", F.coalesce("root", "rep").alias("root"))
     class_id = F.when(F.col("root._id") != -(2**63), F.col("root._id"))
     doc_id = F.when(F.col("v._id") != -(2**63), F.col("v._id"))
