@@ -77,8 +77,8 @@ def _shared_spans(window: int, gram: int):
                     continue
                 sh = t.span_hash(t.mix(u, 3), start, start + n + window - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(t.as_i64(sh)), pa.array(ids[a:z][doc]), pa.array(ths[a:z][doc]), pa.array((start - woff[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["h", *KEY, "start", "n"],
+                    [pa.array(t.as_i64(sh)), pa.array(t.as_i64(h[keep])), pa.array(ids[a:z][doc]), pa.array(ths[a:z][doc]), pa.array((start - woff[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    names=["h", "fp", *KEY, "start", "n"],
                 )
 
     return run
@@ -238,14 +238,20 @@ def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, extra:
         index.add(part)
         index.compact()
     # All three joins read the same columns of ``base``, so that its exchange by key is made once and reused.
-    spans = base.join(index.shared().hint("merge"), KEY).mapInArrow(_shared_spans(window, index.gram), "h bigint, _id bigint, _th bigint, start int, n int")
+    spans = base.join(index.shared().hint("merge"), KEY).mapInArrow(_shared_spans(window, index.gram), "h bigint, fp bigint, _id bigint, _th bigint, start int, n int")
     runs = later_than_first(spans)
-    firsts = packed_runs(runs.where("not later"))
+    # Equal windows share their fingerprint and one run holds no window twice, so windows need a look only where a
+    # fingerprint has several different runs. The aggregate reads all columns, as the join does, to share its exchange.
+    firsts = runs.where("not later").select("fp", *KEY, "start", "n").repartition(index.buckets, "fp")
+    run = F.struct(*KEY, "start", "n")
+    several = firsts.groupBy("fp").agg(F.min(run).alias("lo"), F.max(run).alias("hi")).where("lo <> hi").select("fp")
+    firsts = packed_runs(firsts.join(several.hint("merge"), "fp", "left_semi"))
     # One exchange by hash serves the aggregate and the join.
     single = base.join(firsts.hint("merge"), KEY).mapInArrow(_window_hashes(window), "h bigint, _id bigint, _th bigint, start int").repartition(index.buckets, "h")
     at = F.struct(*KEY, "start")
     origin = single.groupBy("h").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi").select("h", "lo")
     again = single.join(origin.hint("merge"), "h").where(at != F.col("lo")).select("h", *KEY, "start", F.lit(1).alias("n"))
-    gone = runs.where("later").drop("later").unionByName(again)
+    # The test of fp always holds; it keeps this branch's exchanges equal to those of ``firsts``.
+    gone = runs.where("later and fp is not null").drop("later", "fp").unionByName(again)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string" + "".join(f", _keep_{c} {docs.schema[c].dataType.simpleString()}" for c in extra or [])
     return base.join(packed_runs(gone).hint("merge"), KEY, "left").mapInArrow(_removed(window), schema)
