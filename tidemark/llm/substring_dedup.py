@@ -151,15 +151,16 @@ def _removed(window: int):
     return run
 
 
-def later_than_first(rows: DataFrame) -> DataFrame:
-    """``rows`` (h, key, start, n) with ``later``: not the earliest occurrence of its hash. Two ranks, the first within a
-    salt, so that a hash with a third of all rows is ranked by many tasks and only their firsts meet."""
+def split_first(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (h, key, start, ...) as the earliest occurrence of each hash and all later ones. Two ranks, the first within a
+    salt, so that a hash with a third of all rows is ranked by many tasks and only the firsts of a salt meet. The filters
+    subtract so that no group limit is planned for one branch alone: all branches share each rank's exchange."""
     order = [*[F.col(c) for c in KEY], F.col("start")]
     salt = F.pmod(F.xxhash64(*KEY), F.lit(SALTS))
     local = rows.withColumn("_salt", salt).withColumn("_r", F.rank().over(Window.partitionBy("h", "_salt").orderBy(*order)))
-    # Rows that are not first within their salt need no second look: they go to groups of their own.
-    second = Window.partitionBy("h", F.when(F.col("_r") > 1, F.xxhash64(*KEY, "start"))).orderBy(*order)
-    return local.withColumn("_q", F.rank().over(second)).withColumn("later", (F.col("_r") > 1) | (F.col("_q") > 1)).drop("_salt", "_r", "_q")
+    lead = local.where("_r - 1 <= 0").withColumn("_q", F.rank().over(Window.partitionBy("h").orderBy(*order)))
+    later = local.where("_r - 1 > 0").select(*rows.columns).unionByName(lead.where("_q - 1 > 0").select(*rows.columns))
+    return lead.where("_q - 1 <= 0").select(*rows.columns), later
 
 
 def packed_runs(rows: DataFrame) -> DataFrame:
@@ -239,19 +240,16 @@ def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, extra:
         index.compact()
     # All three joins read the same columns of ``base``, so that its exchange by key is made once and reused.
     spans = base.join(index.shared().hint("merge"), KEY).mapInArrow(_shared_spans(window, index.gram), "h bigint, fp bigint, _id bigint, _th bigint, start int, n int")
-    runs = later_than_first(spans)
+    firsts, later = split_first(spans)
     # Equal windows share their fingerprint and one run holds no window twice, so windows need a look only where a
     # fingerprint has several different runs. The aggregate reads all columns, as the join does, to share its exchange.
-    firsts = runs.where("not later").select("fp", *KEY, "start", "n").repartition(index.buckets, "fp")
+    firsts = firsts.select("fp", *KEY, "start", "n").repartition(index.buckets, "fp")
     run = F.struct(*KEY, "start", "n")
     several = firsts.groupBy("fp").agg(F.min(run).alias("lo"), F.max(run).alias("hi")).where("lo <> hi").select("fp")
     firsts = packed_runs(firsts.join(several.hint("merge"), "fp", "left_semi"))
-    # One exchange by hash serves the aggregate and the join.
-    single = base.join(firsts.hint("merge"), KEY).mapInArrow(_window_hashes(window), "h bigint, _id bigint, _th bigint, start int").repartition(index.buckets, "h")
-    at = F.struct(*KEY, "start")
-    origin = single.groupBy("h").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi").select("h", "lo")
-    again = single.join(origin.hint("merge"), "h").where(at != F.col("lo")).select("h", *KEY, "start", F.lit(1).alias("n"))
+    single = base.join(firsts.hint("merge"), KEY).mapInArrow(_window_hashes(window), "h bigint, _id bigint, _th bigint, start int")
+    again = split_first(single)[1].withColumn("n", F.lit(1))
     # The test of fp always holds; it keeps this branch's exchanges equal to those of ``firsts``.
-    gone = runs.where("later and fp is not null").drop("later", "fp").unionByName(again)
+    gone = later.where("fp is not null").drop("fp").unionByName(again)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string" + "".join(f", _keep_{c} {docs.schema[c].dataType.simpleString()}" for c in extra or [])
     return base.join(packed_runs(gone).hint("merge"), KEY, "left").mapInArrow(_removed(window), schema)
