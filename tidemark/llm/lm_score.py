@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import _text as t
 from tidemark.llm._spark import held_out
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 END, START = np.uint64(0x5DEECE66D5A5A5A5 | 1), np.uint64(0x2545F4914F6CDD1D | 1)
 #: Log-ratio bins of the expectation-maximisation: steps of 1/8 of a factor of two.
 STEP = 8
@@ -37,6 +37,16 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def _pack_counts(x: np.ndarray) -> bytes:
+    """Non-negative counts in the narrowest unsigned type that holds them, after a byte with its size."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return bytes([kind.itemsize]) + _pack(x.astype(kind))
+
+
+def _unpack_counts(raw: bytes) -> np.ndarray:
+    return _unpack(raw[1:], f"u{raw[0]}").astype(np.int64)
+
+
 class _Block:
     """Tokens of a block's documents and its sorted distinct keys: unigrams have the lowest bit set, bigrams not."""
 
@@ -57,12 +67,21 @@ class _Block:
         prev[self.off[:-1]] = START
         pair = t.mix(prev * np.uint64(0x9E3779B97F4A7C15) + self.w, 12) & ~np.uint64(1)
         every = np.concatenate([self.w, pair, np.full(len(self.n), START)])
-        self.keys, self.at = np.unique(every, return_inverse=True)
-        self.count = np.bincount(self.at, weights=np.concatenate([self.token_train, self.token_train, self.train]), minlength=len(self.keys)).astype(np.int64)
+        del prev, pair, tokens
+        order = np.argsort(every)
+        every = every[order]
+        new = np.ones(len(every), dtype=bool)
+        new[1:] = every[1:] != every[:-1]
+        self.keys, first = every[new], np.flatnonzero(new)
+        del every
+        self.at = np.empty(len(new), dtype=np.int32 if len(new) < 1 << 31 else np.int64)
+        self.at[order] = np.cumsum(new, dtype=self.at.dtype) - 1
+        trained = np.concatenate([self.token_train, self.token_train, self.train])[order]
+        self.count = np.add.reduceat(trained, first, dtype=np.int64) if len(first) else np.zeros(0, dtype=np.int64)
 
     def totals(self, rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Corpus counts of each token, of its bigram and of its context."""
-        total = np.concatenate([_unpack(x, np.int64) for _, x in sorted(rows)]) if rows else np.zeros(0, dtype=np.int64)
+        total = np.concatenate([_unpack_counts(x) for _, x in sorted(rows)]) if rows else np.zeros(0, dtype=np.int64)
         m = len(self.w)
         c = total[self.at[:m]]
         context = np.empty_like(c)
@@ -81,7 +100,7 @@ def _send(ranges: int):
         end = np.append(cut[1:], len(part))
         return pa.table({
             "part": pa.array(part[cut], pa.int64()), "block": pa.array([key[0].as_py()] * len(cut), pa.int64()),
-            "keys": pa.array([_pack(x.keys[a:z]) for a, z in zip(cut, end)], pa.binary()), "counts": pa.array([_pack(x.count[a:z]) for a, z in zip(cut, end)], pa.binary()),
+            "keys": pa.array([_pack(x.keys[a:z]) for a, z in zip(cut, end)], pa.binary()), "counts": pa.array([_pack_counts(x.count[a:z]) for a, z in zip(cut, end)], pa.binary()),
         })
 
     return run
@@ -90,7 +109,7 @@ def _send(ranges: int):
 def _add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """One hash range: totals for each block in its order, and the range's tokens and distinct words (block -1)."""
     keys = [_unpack(x, np.uint64) for x in table.column("keys").to_pylist()]
-    counts = np.concatenate([_unpack(x, np.int64) for x in table.column("counts").to_pylist()])
+    counts = np.concatenate([_unpack_counts(x) for x in table.column("counts").to_pylist()])
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
     word = ((distinct & np.uint64(1)) == 1) & (distinct != START)
@@ -98,7 +117,7 @@ def _add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     n = len(keys)
     return pa.table({
         "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "part": pa.array([key[0].as_py()] * (n + 1), pa.int64()),
-        "totals": pa.array([*[_pack(total[at[a:z]]) for a, z in zip(cut, cut[1:])], None], pa.binary()),
+        "totals": pa.array([*[_pack_counts(total[at[a:z]]) for a, z in zip(cut, cut[1:])], None], pa.binary()),
         "tokens": pa.array([None] * n + [int(total[word].sum())], pa.int64()), "kinds": pa.array([None] * n + [int((total[word] > 0).sum())], pa.int64()),
     })
 
