@@ -136,9 +136,13 @@ def _deleted(left: pa.Table, right: pa.Table) -> pa.Table:
     with np.errstate(divide="ignore", invalid="ignore"):
         a = np.log2((pair - 1) / ((context - 1) * (c - 1)))
         b = np.log2(c - 1)
-    bins = np.stack([_bucket(context), np.where(pair > 1, np.round(STEP * a), EMPTY), np.where(c > 1, np.round(STEP * b), EMPTY)], axis=1).astype(np.int64)
-    rows, n = np.unique(bins, axis=0, return_counts=True)
-    return pa.table({"bucket": rows[:, 0], "a": rows[:, 1], "b": rows[:, 2], "c": n.astype(np.int64)})
+    # The three are packed into one integer, 21 bits for each ratio, so that one plain sort counts the bins.
+    bins = _bucket(context)
+    for ratio, known in ((a, pair > 1), (b, c > 1)):
+        bins = (bins << 21) + (np.where(known, np.round(STEP * ratio), EMPTY).astype(np.int64) + (1 << 20))
+    rows, n = np.unique(bins, return_counts=True)
+    low = (1 << 21) - 1
+    return pa.table({"bucket": rows >> 42, "a": ((rows >> 21) & low) - (1 << 20), "b": (rows & low) - (1 << 20), "c": n.astype(np.int64)})
 
 
 def learn_weights(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: int, v: int, rounds: int = 30, buckets: int = 48) -> np.ndarray:
