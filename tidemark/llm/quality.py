@@ -50,10 +50,9 @@ def _bags(batches):
         for a, z, b, off in t.chunks(batch.column("text")):
             ids, foff = features(b, off)
             bags = [np.unique(ids[foff[i] : foff[i + 1]], return_counts=True) for i in range(z - a)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, z - a), batch.column("y").slice(a, z - a), pa.array([x[0].tolist() for x in bags], pa.list_(pa.int32())), pa.array([x[1].tolist() for x in bags], pa.list_(pa.int32()))],
-                names=["doc_id", "y", "ids", "counts"],
-            )
+            cut = np.cumsum([0, *[len(x[0]) for x in bags]], dtype=np.int32)
+            lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate([x[k] for x in bags]).astype(np.int32))) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, z - a), batch.column("y").slice(a, z - a), *lists], names=["doc_id", "y", "ids", "counts"])
 
 
 @dataclass(frozen=True)
@@ -103,7 +102,13 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, label
     text = docs.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_d")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "y", "text")
     got = text.mapInArrow(_bags, "doc_id bigint, y int, ids array<int>, counts array<int>").toArrow()
     order = np.argsort(np.asarray(got.column("doc_id")), kind="stable")
-    bags = [(np.array(i, dtype=np.int64), np.array(c, dtype=np.float64)) for i, c in zip(got.column("ids").to_pylist(), got.column("counts").to_pylist())]
+    # Views into the Arrow buffers: no list of Python numbers is made on the driver.
+    bags = [
+        (ids[a:z], counts[a:z])
+        for batch in got.select(["ids", "counts"]).to_batches()
+        for ids, counts, cut in [(*(np.asarray(batch.column(k).flatten()) for k in ("ids", "counts")), np.concatenate(([0], np.cumsum(np.asarray(batch.column("ids").value_lengths())))))]
+        for a, z in zip(cut, cut[1:])
+    ]
     y = np.asarray(got.column("y"))
     return fit([bags[i] for i in order], y[order])
 
