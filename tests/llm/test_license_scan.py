@@ -1,6 +1,6 @@
 import re
 
-from tidemark.llm.license_scan import BASE, license_scan
+from tidemark.llm.license_scan import BASE, NOTICES, TEMPLATES, license_scan
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -32,3 +32,43 @@ def test_edge_cases(spark):
 def test_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     assert got(license_scan(docs)) == {r["doc_id"]: brute(r["text"]) for r in docs.collect()}
+
+
+def brute_labels(text, cover=0.6, drift=3):
+    """Labels by comparing every word of every template at every offset; runs of four words count, as do whole notices."""
+    w = WORD.findall((text or "").translate(LOWER))
+    found = {x for x in brute(text)[4].split(",") if x}
+    found |= {label for label, texts in NOTICES.items() for n in map(str.split, texts) if any(w[i : i + len(n)] == n for i in range(len(w)))}
+    for label, template in TEMPLATES.items():
+        v, runs = template.split(), {}
+        for j in range(len(v) - 3):
+            for i in range(len(w) - 3):
+                if w[i : i + 4] == v[j : j + 4]:
+                    runs.setdefault(i - j, set()).update(range(j, j + 4))
+        last, words = None, set()
+        for d in sorted(runs):
+            words = runs[d] | (words if last is not None and d - last <= drift else set())
+            last = d
+            if len(words) >= cover * len(v):
+                found.add(label)
+    return ",".join(sorted(found))
+
+
+def test_short_notices(spark):
+    rows = {
+        1: ("Released under the MIT License.", "mit"), 2: ("licensed under the terms of the MIT licence", "mit"), 3: ("SPDX-License-Identifier: BSD-3-Clause", "bsd"), 4: ("Released under the BSD License.", "bsd"),
+        5: ("Licensed under the ISC license", "isc"), 6: ("Mozilla Public License, v. 2.0", "mpl-2.0"), 7: ("Mozilla Public License 1.1", ""), 8: ("Released under the MIT", ""), 13: ("unter der License mit Quelle", ""), 9: ("a summit license", ""),
+        10: ("Released under the MIT License. Released under the BSD License. All rights reserved.", "bsd,mit,reserved"), 11: ("Licensed under CC BY-NC 4.0.", "cc-by"), 12: (" ".join(TEMPLATES["mit"].split()[:14]) + " MIT License", "mit"),
+    }
+    out = {r["doc_id"]: r for r in license_scan(spark.createDataFrame([(d, x) for d, (x, _) in rows.items()], "doc_id long, text string")).collect()}
+    assert {d: r["labels"] for d, r in out.items()} == {d: want for d, (_, want) in rows.items()}
+    assert out[1]["score"] == 1.0 and [(s["label"], s["start"], s["end"], s["cover"]) for s in out[1]["spans"]] == [("mit", 3, 5, 1.0)]
+    assert out[1]["n_base"] == 0 and out[1]["base_labels"] == "" and out[8]["score"] == 0.0
+
+
+def test_table_labels(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    labels = {r["doc_id"]: r["labels"] for r in license_scan(docs).collect()}
+    assert labels == {d: brute_labels(x) for d, x in texts.items()}
+    assert any("Released under the MIT License." in (x or "") for x in texts.values()) and all("mit" in labels[d] for d, x in texts.items() if "Released under the MIT License." in (x or ""))

@@ -2,7 +2,8 @@
 
 Rolling word k-gram hashes of every text are joined to the positions of licence templates. A hit votes for its offset
 diagonal (text position minus template position); votes are aggregated by diagonal, neighbouring diagonals merge, and a span
-is kept if the template words verified under it cover enough of the template.
+is kept if the template words verified under it cover enough of the template. A short notice is one gram of all its words, so it
+is found whole or not at all.
 """
 
 from __future__ import annotations
@@ -29,6 +30,16 @@ TEMPLATES = {
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
+# Short notices that name a licence, by label; forms with a version only where the label has one.
+NOTICES = {
+    "apache-2.0": ("apache license version 2 0", "apache license v2 0", "apache license 2 0", "apache 2 0 license", "license identifier apache 2 0"),
+    "mit": ("mit license", "mit licence", "mit licensed", "license identifier mit"),
+    "bsd": ("bsd license", "bsd licence", "bsd licensed", "license bsd", "bsd 2 clause", "bsd 3 clause"),
+    "mpl-2.0": ("mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license v2 0", "mozilla public license 2 0", "license mpl 2 0", "mpl 2 0 license", "license identifier mpl 2 0"),
+    "cc-by-text": ("creative commons attribution 4 0",),
+    "isc": ("isc license", "isc licence", "isc licensed", "license isc", "license identifier isc"),
+    "unlicense": ("under the unlicense", "license unlicense", "license identifier unlicense"),
+}
 GRAM = 4
 
 
@@ -36,27 +47,27 @@ GRAM = 4
 class _Table:
     """Template k-grams: hash -> their words, for emission, and (hash, template, position) rows for the join."""
 
-    rows: list[tuple[int, str, int, int, int, bool]]  # hash, label, position, gram size, template words, base
+    rows: list[tuple[int, int, str, int, int, int, bool]]  # hash, template, label, position, gram size, template words, base
 
     @property
     def hashes(self) -> dict[int, np.ndarray]:
-        sizes = sorted({r[3] for r in self.rows})
-        return {k: np.unique(np.array([r[0] for r in self.rows if r[3] == k], dtype=np.int64).view(np.uint64)) for k in sizes}
+        sizes = sorted({r[4] for r in self.rows})
+        return {k: np.unique(np.array([r[0] for r in self.rows if r[4] == k], dtype=np.int64).view(np.uint64)) for k in sizes}
 
 
 def _grams(units: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return t.mix(t.span_hash(units, at, at + k), k)
 
 
-def _template_table(base: dict[str, str], templates: dict[str, str]) -> _Table:
+def _template_table(base: dict[str, str], templates: dict[str, str], notices: dict[str, tuple[str, ...]]) -> _Table:
     rows = []
-    for is_base, items in ((True, ((v, k) for k, v in base.items())), (False, templates.items())):
-        for label, text in items:
-            b = np.frombuffer(text.encode(), dtype=np.uint8)
-            s, e, off = t.words(b, np.array([0, len(b)]), t.ALNUM)
-            k = len(s) if is_base else min(GRAM, len(s))
-            at = t.windows_ok(off, k)
-            rows += [(int(h), label, int(i), k, len(s), is_base) for h, i in zip(t.as_i64(_grams(t.word_hashes(b, s, e), at, k)), at)]
+    items = [(v, k, True, True) for k, v in base.items()] + [(k, v, False, False) for k, v in templates.items()] + [(k, v, False, True) for k, vs in notices.items() for v in vs]
+    for n, (label, text, is_base, whole) in enumerate(items):
+        b = np.frombuffer(text.encode(), dtype=np.uint8)
+        s, e, off = t.words(b, np.array([0, len(b)]), t.ALNUM)
+        k = len(s) if whole else min(GRAM, len(s))
+        at = t.windows_ok(off, k)
+        rows += [(int(h), n, label, int(i), k, len(s), is_base) for h, i in zip(t.as_i64(_grams(t.word_hashes(b, s, e), at, k)), at)]
     return _Table(rows)
 
 
@@ -85,32 +96,34 @@ def _scan(hashes: dict[int, np.ndarray]):
     return run
 
 
-def license_scan(docs: DataFrame, base: dict[str, str] | None = None, templates: dict[str, str] | None = None, cover: float = 0.6, drift: int = 3) -> DataFrame:
-    """Base phrases and licence templates in every whole text.
+def license_scan(docs: DataFrame, base: dict[str, str] | None = None, templates: dict[str, str] | None = None, cover: float = 0.6, drift: int = 3, notices: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Base phrases, licence templates and short notices in every whole text.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels (comma-joined, sorted, '' if none), score (1
-    for a base phrase, else the best template cover) and spans (label, start, end, cover). Null text is empty; rows with equal
+    for a base phrase or a notice, else the best template cover) and spans (label, start, end, cover). Null text is empty; rows with equal
     ids are told apart by text; rows equal in both give one row whose counts add up; an empty table gives no rows; other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
-    table = _template_table(BASE if base is None else base, TEMPLATES if templates is None else templates)
+    table = _template_table(BASE if base is None else base, TEMPLATES if templates is None else templates, NOTICES if notices is None else notices)
     # A fixed, small table (a few hundred rows, bounded by the templates given): it is broadcast.
-    positions = F.broadcast(spark.createDataFrame(table.rows, "gram bigint, label string, at int, k int, size int, base boolean"))
+    positions = F.broadcast(spark.createDataFrame(table.rows, "gram bigint, tmpl int, label string, at int, k int, size int, base boolean"))
     row = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"))
     hits = docs.select(row.alias("row"), "text").mapInArrow(_scan(table.hashes), "row struct<doc_id:bigint,th:bigint>, pos bigint, gram bigint")
     joined = hits.join(positions, "gram", "left")
     # Votes of each diagonal, combined before the exchange; the document's own row and base places ride along.
     diag = F.when(~F.col("base"), F.col("pos") - F.col("at"))
-    by_diag = joined.groupBy("row", "label", "base", diag.alias("diag")).agg(
+    by_diag = joined.groupBy("row", "tmpl", "label", "base", diag.alias("diag")).agg(
         F.max(F.when(F.col("gram").isNull(), F.col("pos"))).alias("words"), F.count("gram").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"),
         F.max("size").alias("size"), F.max("k").alias("k"), F.collect_set(F.when(~F.col("base"), F.col("at"))).alias("ats"),
     )
-    w = Window.partitionBy("row", "label", "base").orderBy("diag")
+    # Template words under the grams of each diagonal.
+    by_diag = by_diag.withColumn("ats", F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("k") - 1))))
+    w = Window.partitionBy("row", "tmpl", "label", "base").orderBy("diag")
     step = F.coalesce(F.col("diag") - F.lag("diag").over(w) > drift, F.lit(True)).cast("int")
     chained = by_diag.withColumn("step", step).withColumn("chain", F.sum("step").over(w))
-    spans = chained.groupBy("row", "label", "base", "chain").agg(
+    spans = chained.groupBy("row", "tmpl", "label", "base", "chain").agg(
         F.max("words").alias("words"), F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("size").alias("size"), F.max("k").alias("k"),
-        F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("ats")), lambda a: F.sequence(a, a + GRAM - 1))))).alias("covered"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"),
     )
     part = F.least(F.col("covered") / F.col("size"), F.lit(1.0))
     found = ~F.col("base") & (part >= cover)
