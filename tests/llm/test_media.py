@@ -1,5 +1,6 @@
 import numpy as np
 
+from tidemark.llm import media
 from tidemark.llm.media import FRAME, HOP, RATE, align, chroma, decode, fingerprint, fingerprints, sonify
 
 
@@ -38,3 +39,37 @@ def test_alignment(spark):
     assert not any(4 in k[1:] or 200 in k[1:] for k in got)
     assert align(fingerprints(df.limit(0), "vec_id")).count() == 0
     assert chroma(np.zeros(FRAME + 3 * HOP)).shape == (4, 12)
+
+
+def brute_match(x, y, max_error=0.2, min_votes=4):
+    """Best of all offsets, every pair of frames compared."""
+    x, y, found = np.array(x, dtype=np.int32), np.array(y, dtype=np.int32), []
+    for offset in range(-len(x) + 1, len(y)):
+        lo = max(0, -offset)
+        n = min(len(x) - lo, len(y) - lo - offset)
+        a, b = x[lo : lo + n], y[lo + offset : lo + offset + n]
+        votes, error = int((a == b).sum()), sum(int(v).bit_count() for v in (a ^ b).view(np.uint32)) / (32 * n)
+        if votes >= min_votes and error <= max_error:
+            found.append((votes, -abs(offset), offset, error))
+    return max(found, default=None)
+
+
+def test_repeated_sections(spark):
+    rng = np.random.default_rng(7)
+    draw = lambda n: rng.integers(-(2**31), 2**31, n).tolist()
+    line, x, y, loop = draw(60), draw(80), draw(50), draw(3)
+    noisy = [v ^ (int(i % 3 > 0) << int(rng.integers(31))) for i, v in enumerate(loop * 40)]
+    rows = [(100, line + x + line + y), (1, line + y), (200, loop * 30), (2, loop * 20), (3, noisy), (300, [7] * 90), (4, [7] * 130), (5, draw(90)), (6, draw(9) + line[:30])]
+    df = spark.createDataFrame(rows, "id long, print array<int>")
+    want = {(a, b): m for a, p in rows if a % 100 == 0 for b, q in rows if a != b and (m := brute_match(p, q))}
+    assert want[100, 1][:3] == (110, -140, -140) and (200, 2) in want and (300, 4) in want
+    got = {(r["a"], r["b"]): (r["votes"], -abs(r["offset"]), r["offset"], r["bit_error"]) for r in align(df).collect()}
+    assert got == want
+
+
+def test_correlate():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (5, 300), (400, 70)):
+        x, y = np.sort(rng.choice(2000, n, replace=False)), np.sort(rng.choice(3000, m, replace=False))
+        at, c = np.unique(y[None, :] - x[:, None], return_counts=True)
+        assert dict(zip(*(v.tolist() for v in media.correlate(x, y)))) == dict(zip(at.tolist(), c.tolist()))

@@ -2,7 +2,7 @@
 
 Frames of a recording are folded to twelve pitch classes; sixteen box filters, read from an integral image over (frame, pitch class), are
 quantised to two bits each and packed into one 32-bit integer a frame. Recordings meet on equal integers, vote for the
-offset between their frames, and the best offset is verified by its share of differing bits.
+offset between their frames with all of them, and the offsets are verified by their share of differing bits.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from tidemark.llm._spark import written
 
 RATE, FRAME, HOP, SPAN = 4000, 1024, 512, 16
 NOTE_SAMPLES = 512
+#: Frame pairs of one value in two recordings that are counted one by one; beyond it they are counted by a correlation.
+SINGLE_PAIRS = 4096
 
 
 def sonify(values: np.ndarray) -> bytes:
@@ -108,12 +110,80 @@ def fingerprints(media: DataFrame, id_column: str, audio: str = "audio") -> Data
     return media.select(F.col(id_column).cast("bigint").alias("id"), F.col(audio).alias("audio")).mapInArrow(run, "id bigint, print array<int>")
 
 
+def _places(batches):
+    """(rep, asked, print) -> one row for each distinct value of a recording with all its frames."""
+    for batch in batches:
+        prints = batch.column("print")
+        value, n = np.asarray(prints.flatten()), np.asarray(prints.value_lengths())
+        rec = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(rec)) - np.repeat(np.cumsum(n) - n, n)
+        order = np.lexsort((at, value, rec))
+        rec, value, at = rec[order], value[order], at[order]
+        first = np.flatnonzero(np.append(True, (rec[1:] != rec[:-1]) | (value[1:] != value[:-1]))[: len(rec)])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(rec)).astype(np.int32)), pa.array(at.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(rec[first])), pa.array(value[first]), lists], names=["rep", "value", "at"])
+
+
+def correlate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Differences y - x of two sets of frames and how often each occurs, without forming the pairs."""
+    a, b = np.bincount(x - x.min()).astype(float), np.bincount(y - y.min()).astype(float)
+    n = 1 << int(len(a) + len(b) - 1).bit_length()
+    c = np.rint(np.fft.irfft(np.fft.rfft(b, n) * np.conj(np.fft.rfft(a, n)), n)).astype(np.int64)
+    at = np.flatnonzero(c)
+    return np.where(at < len(b), at, at - n) + int(y.min()) - int(x.min()), c[at]
+
+
+def _votes(batches):
+    """(a, b, ap, bp) -> votes of every pair of frames, by offset."""
+    for batch in batches:
+        (x, nx), (y, ny) = ((np.asarray(c.flatten()).astype(np.int64), np.asarray(c.value_lengths()).astype(np.int64)) for c in (batch.column("ap"), batch.column("bp")))
+        sx, sy, pairs = np.cumsum(nx) - nx, np.cumsum(ny) - ny, nx * ny
+        few = np.flatnonzero(pairs <= SINGLE_PAIRS)
+        parts = np.split(few, np.flatnonzero(np.diff(np.cumsum(pairs[few]) >> 20)) + 1)
+        for part in parts:
+            row = np.repeat(part, pairs[part])
+            k = np.arange(len(row)) - np.repeat(np.cumsum(pairs[part]) - pairs[part], pairs[part])
+            yield _vote_rows(batch, (row, y[sy[row] + k % ny[row]] - x[sx[row] + k // ny[row]], np.ones(len(row), dtype=np.int64)))
+        for i in np.flatnonzero(pairs > SINGLE_PAIRS):
+            offset, votes = correlate(x[sx[i] : sx[i] + nx[i]], y[sy[i] : sy[i] + ny[i]])
+            yield _vote_rows(batch, (np.full(len(offset), i), offset, votes))
+
+
+def _vote_rows(batch, part) -> pa.RecordBatch:
+    row, offset, votes = part
+    row = pa.array(row)
+    return pa.RecordBatch.from_arrays([batch.column("a").take(row), batch.column("b").take(row), pa.array(offset.astype(np.int32)), pa.array(votes)], names=["a", "b", "offset", "votes"])
+
+
+def _verified(max_error: float):
+    """(a, b, offsets by preference, pa, pb) -> the first offset whose share of differing bits is within the bound."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                x, y = (np.asarray(batch.column(c)[i].values).view(np.uint32) for c in ("pa", "pb"))
+                at = batch.column("tried")[i].values
+                for votes, offset in zip(np.asarray(at.field("votes")).tolist(), np.asarray(at.field("offset")).tolist()):
+                    lo = max(0, -offset)
+                    n = min(len(x) - lo, len(y) - lo - offset)
+                    error = int(np.bitwise_count(x[lo : lo + n] ^ y[lo + offset : lo + offset + n]).sum()) / (32 * n)
+                    if error <= max_error:
+                        out.append((batch.column("a")[i].as_py(), batch.column("b")[i].as_py(), offset, votes, error))
+                        break
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["a", "b", "offset", "votes", "bit_error"])
+
+    return run
+
+
 def align(prints: DataFrame, query: str = "id % 100 = 0", max_error: float = 0.2, min_votes: int = 4) -> DataFrame:
     """Copies and matches: (kind, a, b, offset, votes, bit_error).
 
     Recordings with equal fingerprints are one class, its smallest id the representative; ``copy`` rows give each other
-    member. ``match`` rows align the classes that hold a query row with every other class. A null id and an empty fingerprint take no part;
-    rows with an equal id are one recording if their fingerprints are equal.
+    member. ``match`` rows align the classes that hold a query row with every other class: of all offsets with ``min_votes``
+    votes (pairs of equal frames) and at most ``max_error`` differing bits, the one with most votes, the smallest shift among equals. A null
+    id and an empty fingerprint take no part; rows with an equal id are one recording if their fingerprints are equal.
     """
     rows = prints.where("id is not null and size(print) > 0").withColumn("digest", F.md5(F.array_join("print", ",").cast("binary")))
     rows = written(rows.distinct(), "prints")
@@ -121,18 +191,13 @@ def align(prints: DataFrame, query: str = "id % 100 = 0", max_error: float = 0.2
     reps = written(first, "classes")
     copies = rows.select("id", "digest").join(reps.select("digest", "rep"), "digest").where("id <> rep")
     copies = copies.select(F.lit("copy").alias("kind"), F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("offset"), F.lit(0).cast("bigint").alias("votes"), F.lit(0.0).alias("bit_error"))
-    # A value repeated within a recording counts once, at its first frame, so no value can give the square of its frames.
-    frames = reps.select("rep", "asked", F.posexplode("print").alias("pos", "value")).groupBy("rep", "asked", "value").agg(F.min("pos").alias("pos"))
-    asked = frames.where("asked").select(F.col("rep").alias("a"), "value", F.col("pos").alias("ap"))
-    hits = asked.join(frames.select(F.col("rep").alias("b"), "value", F.col("pos").alias("bp")), "value").where("a <> b")
-    votes = hits.groupBy("a", "b", (F.col("bp") - F.col("ap")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("a", "b").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("t")).where(F.col("t.votes") >= min_votes)
-    best = best.select("a", "b", "t.offset", "t.votes")
-    both = best.join(reps.select(F.col("rep").alias("a"), F.col("print").alias("pa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("print").alias("pb")), "b")
-    lo = F.greatest(F.lit(0), -F.col("offset"))
-    both = both.withColumn("lo", lo).withColumn("n", F.least(F.size("pa") - F.col("lo"), F.size("pb") - F.col("lo") - F.col("offset")))
-    error = F.expr("aggregate(zip_with(slice(pa, lo + 1, n), slice(pb, lo + offset + 1, n), (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) / (32D * n)")
-    matches = both.where("n > 0").withColumn("bit_error", error).where(F.col("bit_error") <= max_error)
+    # A value has one row in a recording, with all its frames, so the join never forms the square of its frames.
+    places = lambda df, rep, at: df.select("rep", "print").mapInArrow(_places, "rep bigint, value int, at array<int>").select(F.col("rep").alias(rep), "value", F.col("at").alias(at))
+    hits = places(reps.where("asked"), "a", "ap").join(places(reps, "b", "bp"), "value").where("a <> b").select("a", "b", "ap", "bp")
+    votes = hits.mapInArrow(_votes, "a bigint, b bigint, offset int, votes bigint").groupBy("a", "b", "offset").agg(F.sum("votes").alias("votes")).where(F.col("votes") >= min_votes)
+    tried = votes.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")), asc=False).alias("tried"))
+    both = tried.join(reps.select(F.col("rep").alias("a"), F.col("print").alias("pa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("print").alias("pb")), "b")
+    matches = both.mapInArrow(_verified(max_error), "a bigint, b bigint, offset int, votes bigint, bit_error double")
     return copies.unionByName(matches.select(F.lit("match").alias("kind"), "a", "b", "offset", "votes", "bit_error"))
 
 
