@@ -73,3 +73,22 @@ def test_correlate():
         x, y = np.sort(rng.choice(2000, n, replace=False)), np.sort(rng.choice(3000, m, replace=False))
         at, c = np.unique(y[None, :] - x[:, None], return_counts=True)
         assert dict(zip(*(v.tolist() for v in media.correlate(x, y)))) == dict(zip(at.tolist(), c.tolist()))
+
+
+def test_second_voice():
+    note = np.append(np.random.default_rng(2).integers(0, 36, 60), 36)
+    low, high = ((note + np.append(np.full(60, f), 0)) / 18 - 1 for f in (0.1, 0.9))
+    assert sonify(low) != sonify(high)
+    assert (fingerprint(chroma(decode(sonify(low)))) != fingerprint(chroma(decode(sonify(high))))).any()
+
+
+def test_query_returns_every_recording(spark, tmp_path):
+    from tidemark.llm.contract import op9_media
+
+    v = np.random.default_rng(4).normal(size=(3, 40)).tolist()
+    rows = [(5, v[0]), (2, v[0]), (7, v[1]), (8, [1.0]), (9, None), (None, v[2])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = [r for r in op9_media(spark, str(tmp_path)).collect() if r["kind"] == "recording"]
+    assert {(r["b"], r["a"], r["frames"]) for r in out} == {(5, 2, 24), (2, 2, 24), (7, 7, 24), (8, None, 0), (9, None, 0), (None, None, 24)} and len(out) == 6
+    digest = {r["b"]: r["digest"] for r in out}
+    assert digest[5] == digest[2] != digest[7] and all(digest.values())

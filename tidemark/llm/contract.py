@@ -94,9 +94,12 @@ def op8_lm_score(spark, d):
 
 @query
 def op9_media(spark, d):
-    from tidemark.llm.media import align, fingerprints, sonified
+    from tidemark.llm._spark import written
+    from tidemark.llm.media import align, fingerprints, recordings, sonified
 
-    return align(fingerprints(sonified(table(spark, d, "embeddings")), "id"))
+    prints = written(fingerprints(sonified(table(spark, d, "embeddings")), "id"), "fingerprints")
+    each = recordings(prints).select(F.lit("recording").alias("kind"), F.col("class_id").alias("a"), F.col("id").alias("b"), "frames", "digest")
+    return align(prints).unionByName(each, allowMissingColumns=True)
 
 
 def pipeline(spark, d):

@@ -24,12 +24,13 @@ SINGLE_PAIRS = 4096
 
 
 def sonify(values: np.ndarray) -> bytes:
-    """A vector as a mono 16-bit WAV: each value is a note of three octaves above 220 Hz, its fraction a second voice."""
+    """A vector as a mono 16-bit WAV: each value is a note of three octaves above 220 Hz, its fraction a second voice that
+    glides over the octave above 880 Hz."""
     v = np.nan_to_num(np.asarray(values, dtype=float))
-    x = np.floor((v / (np.abs(v).max(initial=0) or 1) + 1) * 18)
+    part, x = np.modf((v / (np.abs(v).max(initial=0) or 1) + 1) * 18)
     time = np.arange(NOTE_SAMPLES) / RATE
     pitch = 220.0 * 2.0 ** (x / 12)
-    tone = np.sin(2 * np.pi * pitch[:, None] * time) * 0.6
+    tone = np.sin(2 * np.pi * pitch[:, None] * time) * 0.6 + np.sin(2 * np.pi * 880.0 * 2.0 ** part[:, None] * time) * 0.3
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
         w.setnchannels(1), w.setsampwidth(2), w.setframerate(RATE)
@@ -110,6 +111,18 @@ def fingerprints(media: DataFrame, id_column: str, audio: str = "audio") -> Data
     return media.select(F.col(id_column).cast("bigint").alias("id"), F.col(audio).alias("audio")).mapInArrow(run, "id bigint, print array<int>")
 
 
+def _digest(column: str = "print"):
+    return F.md5(F.array_join(column, ",").cast("binary"))
+
+
+def recordings(prints: DataFrame) -> DataFrame:
+    """(id, class_id, frames, digest) of every row: the smallest id with an equal fingerprint, its frames and its digest. An empty
+    fingerprint has no class."""
+    rows = prints.select("id", F.size("print").alias("frames"), _digest().alias("digest"))
+    classes = rows.where("id is not null and frames > 0").groupBy("digest").agg(F.min("id").alias("class_id"))
+    return rows.join(classes, "digest", "left").select("id", "class_id", "frames", "digest")
+
+
 def _places(batches):
     """(rep, asked, print) -> one row for each distinct value of a recording with all its frames."""
     for batch in batches:
@@ -185,7 +198,7 @@ def align(prints: DataFrame, query: str = "id % 100 = 0", max_error: float = 0.2
     votes (pairs of equal frames) and at most ``max_error`` differing bits, the one with most votes, the smallest shift among equals. A null
     id and an empty fingerprint take no part; rows with an equal id are one recording if their fingerprints are equal.
     """
-    rows = prints.where("id is not null and size(print) > 0").withColumn("digest", F.md5(F.array_join("print", ",").cast("binary")))
+    rows = prints.where("id is not null and size(print) > 0").withColumn("digest", _digest())
     rows = written(rows.distinct(), "prints")
     first = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.max(F.expr(query)).alias("asked"), F.first("print").alias("print"))
     reps = written(first, "classes")
