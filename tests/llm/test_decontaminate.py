@@ -46,3 +46,12 @@ def test_table(spark, sf_dir):
     d, b = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     docs = [(r["doc_id"], r["text"]) for r in d.collect()]
     assert got(leaks(d, b)) == brute(docs, [(r["item_id"], r["text"]) for r in b.collect()])
+
+
+def test_null_item_ids(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(20)) for c in "pq")
+    docs = [(1, "x " + one + " y"), (2, two), (3, "clean text of no item at all"), (4, one + " " + two)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(None, one), (None, two), (None, None), (7, two)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"] or 0) for r in leaks(d, b).collect()) == [(1, 0), (2, 0), (2, 7), (4, 0), (4, 0), (4, 7)]
+    assert {r["doc_id"] for r in clean(d, b.where("item_id is null")).collect()} == {3}

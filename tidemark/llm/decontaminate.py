@@ -16,6 +16,8 @@ from tidemark.llm._spark import KEY, keyed, small_or_shuffled, written
 SHINGLE = 5
 #: At similarity 0.8 two 64-bit fingerprints differ in 10 bits on average (standard deviation 3).
 RADIUS = 24
+#: Key of an item: a null id counts as the smallest, and such items are told apart by a hash of their text.
+ITEM = ["_iid", "_ith"]
 
 _SIM = "aggregate(transform(sequence(0, 63), b -> IF(aggregate({a}, 0, (acc, x) -> acc + CAST(2 * (shiftright(x, b) & 1L) - 1 AS INT)) > 0, shiftleft(1L, b), 0L)), 0L, (acc, v) -> acc | v)"
 _SHARED = "aggregate(array_intersect({a}, {b}), 0, (acc, s) -> acc + least(size(filter({a}, y -> y = s)), size(filter({b}, y -> y = s))))"
@@ -43,32 +45,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
     best window, the earliest among equals.
 
     The similarity is the weighted Jaccard of five-word shingles with their counts as weights, words lower-cased. Items of fewer
-    than five words have no shingles and never match; a document shorter than an item is one window. Null text has no words; rows equal
+    than five words have no shingles and never match; an item of null id is an item of its own, by text, with a null item_id; a document shorter than an item is one window. Null text has no words; rows equal
     in id and text give one result; empty tables give no rows; other columns are ignored.
     """
     base = keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), word_hashes(F.col("text")).alias("w"))
-    items = items.withColumn("ish", shingles("w")).where(F.size("ish") > 0).select("item_id", F.size("w").alias("len"), "ish")
+    items = benchmark.select(F.expr("coalesce(CAST(item_id AS bigint), -9223372036854775808L)").alias("_iid"), F.expr("IF(item_id IS NULL, xxhash64(text), 0L)").alias("_ith"), word_hashes(F.col("text")).alias("w"))
+    items = items.withColumn("ish", shingles("w")).where(F.size("ish") > 0).select(*ITEM, F.size("w").alias("len"), "ish")
     items = written(items.withColumn("ifp", F.expr(_SIM.format(a="ish"))), "benchmark-items")
-    grams = written(items.select("item_id", "len", F.size("ish").alias("m"), F.posexplode("ish").alias("ipos", "s")), "benchmark-shingles")
+    grams = written(items.select(*ITEM, "len", F.size("ish").alias("m"), F.posexplode("ish").alias("ipos", "s")), "benchmark-shingles")
     hashed = base.select(*KEY, word_hashes(F.col("text")).alias("w"))
     places = hashed.select(*KEY, F.size("w").alias("n"), F.posexplode(shingles("w")).alias("pos", "s"))
     hits = places.join(small_or_shuffled(grams), "s")
     start = F.greatest(F.least(F.col("pos") - F.col("ipos"), F.col("n") - F.col("len")), F.lit(0))
     # A window at the threshold shares at least that part of the item's shingles; starts are bounded by the document.
-    near = hits.groupBy(*KEY, "item_id", "len", "m").agg(F.count(F.lit(1)).alias("hits"), F.collect_set(start).alias("starts")).where(F.col("hits") >= F.col("m") * threshold)
+    near = hits.groupBy(*KEY, *ITEM, "len", "m").agg(F.count(F.lit(1)).alias("hits"), F.collect_set(start).alias("starts")).where(F.col("hits") >= F.col("m") * threshold)
     wanted = written(near.groupBy(*KEY, "len").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "leak-windows")
     texts = base.join(small_or_shuffled(wanted), KEY).select("doc_id", *KEY, "len", "starts", word_hashes(F.col("text")).alias("dw"))
     windows = texts.select("doc_id", *KEY, "len", "dw", F.explode("starts").alias("start")).withColumn("win", F.slice("dw", F.col("start") + 1, F.col("len"))).drop("dw")
     windows = windows.withColumn("wsh", shingles("win")).withColumn("wfp", F.expr(_SIM.format(a="wsh"))).drop("win")
     left = windows.withColumn("b", F.explode(_blocks("wfp"))).select("*", "b.block", "b.value").drop("b")
-    right = items.withColumn("b", F.explode(_blocks("ifp"))).select("item_id", "len", "ish", "ifp", "b.block", "b.value")
+    right = items.withColumn("b", F.explode(_blocks("ifp"))).select(*ITEM, "len", "ish", "ifp", "b.block", "b.value")
     near_fp = left.join(right, ["len", "block", "value"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
-    pairs = near_fp.groupBy("doc_id", *KEY, "item_id", "len", "start").agg(F.first("wsh").alias("wsh"), F.first("ish").alias("ish"))
+    pairs = near_fp.groupBy("doc_id", *KEY, *ITEM, "len", "start").agg(F.first("wsh").alias("wsh"), F.first("ish").alias("ish"))
     shared = F.expr(_SHARED.format(a="wsh", b="ish"))
     scored = pairs.withColumn("c", shared).withColumn("similarity", F.col("c") / (F.size("wsh") + F.size("ish") - F.col("c"))).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("doc_id", *KEY, "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "len")).alias("t"))
-    return best.select("doc_id", *KEY, "item_id", (-F.col("t.s")).cast("bigint").alias("start"), F.col("t.len").cast("bigint").alias("n_words"), F.col("t.similarity").alias("similarity"))
+    best = scored.groupBy("doc_id", *KEY, *ITEM).agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "len")).alias("t"))
+    item_id = F.when(F.col("_ith") == 0, F.col("_iid")).alias("item_id")
+    return best.select("doc_id", *KEY, item_id, (-F.col("t.s")).cast("bigint").alias("start"), F.col("t.len").cast("bigint").alias("n_words"), F.col("t.similarity").alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
