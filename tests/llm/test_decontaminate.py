@@ -55,3 +55,10 @@ def test_null_item_ids(spark):
     b = spark.createDataFrame([(None, one), (None, two), (None, None), (7, two)], "item_id long, text string")
     assert sorted((r["doc_id"], r["item_id"] or 0) for r in leaks(d, b).collect()) == [(1, 0), (2, 0), (2, 7), (4, 0), (4, 0), (4, 7)]
     assert {r["doc_id"] for r in clean(d, b.where("item_id is null")).collect()} == {3}
+
+
+def test_few_distinct_shingles(spark):
+    items = [(n, " ".join("ab"[i % 2] for i in range(n))) for n in (13, 21)]
+    docs = [(1, "b " + items[0][1][:-2]), (2, "b " + items[1][1][:-2]), (3, "b b a a " * 9)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert (1, 13) in brute(docs, items) and got(leaks(d, b)) == brute(docs, items)

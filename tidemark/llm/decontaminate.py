@@ -3,7 +3,8 @@
 A window as long as a benchmark item can only be similar to it if they share shingles, so item-sized windows are laid where a
 document shares enough shingles with an item. Each window gets a SimHash; a multi-index over blocks of the fingerprint finds
 every item fingerprint within the radius (radius + 1 blocks: two fingerprints within the radius agree on one whole block);
-the exact weighted-shingle similarity then decides.
+the exact weighted-shingle similarity then decides. Where shingles repeat, fingerprints say little (each follows its
+commonest shingles); such windows and items go to the exact similarity without them.
 """
 
 from __future__ import annotations
@@ -59,14 +60,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
     start = F.greatest(F.least(F.col("pos") - F.col("ipos"), F.col("n") - F.col("len")), F.lit(0))
     # A window at the threshold shares at least that part of the item's shingles; starts are bounded by the document.
     near = hits.groupBy(*KEY, *ITEM, "len", "m").agg(F.count(F.lit(1)).alias("hits"), F.collect_set(start).alias("starts")).where(F.col("hits") >= F.col("m") * threshold)
+    near = written(near.select(*KEY, *ITEM, "len", "starts"), "leak-candidates")
     wanted = written(near.groupBy(*KEY, "len").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "leak-windows")
     texts = base.join(small_or_shuffled(wanted), KEY).select("doc_id", *KEY, "len", "starts", word_hashes(F.col("text")).alias("dw"))
     windows = texts.select("doc_id", *KEY, "len", "dw", F.explode("starts").alias("start")).withColumn("win", F.slice("dw", F.col("start") + 1, F.col("len"))).drop("dw")
     windows = windows.withColumn("wsh", shingles("win")).withColumn("wfp", F.expr(_SIM.format(a="wsh"))).drop("win")
+    windows = written(windows, "leak-window-shingles")
     left = windows.withColumn("b", F.explode(_blocks("wfp"))).select("*", "b.block", "b.value").drop("b")
     right = items.withColumn("b", F.explode(_blocks("ifp"))).select(*ITEM, "len", "ish", "ifp", "b.block", "b.value")
     near_fp = left.join(right, ["len", "block", "value"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
-    pairs = near_fp.groupBy("doc_id", *KEY, *ITEM, "len", "start").agg(F.first("wsh").alias("wsh"), F.first("ish").alias("ish"))
+    repeats = F.expr("size(array_distinct(wsh)) < size(wsh) OR size(array_distinct(ish)) < size(ish)")
+    laid = near.select(*KEY, *ITEM, "len", F.explode("starts").alias("start")).join(windows, [*KEY, "len", "start"])
+    repeated = laid.join(items.drop("ifp"), [*ITEM, "len"]).where(repeats)
+    reached = ["doc_id", *KEY, *ITEM, "len", "start", "wsh", "ish"]
+    pairs = near_fp.select(*reached).unionByName(repeated.select(*reached)).groupBy("doc_id", *KEY, *ITEM, "len", "start").agg(F.first("wsh").alias("wsh"), F.first("ish").alias("ish"))
     shared = F.expr(_SHARED.format(a="wsh", b="ish"))
     scored = pairs.withColumn("c", shared).withColumn("similarity", F.col("c") / (F.size("wsh") + F.size("ish") - F.col("c"))).where(F.col("similarity") >= threshold)
     best = scored.groupBy("doc_id", *KEY, *ITEM).agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "len")).alias("t"))
