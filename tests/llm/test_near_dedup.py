@@ -2,7 +2,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
+from tidemark.llm import near_dedup
 from tidemark.llm.near_dedup import bagminhash, first_of_class, near_classes
 
 
@@ -61,3 +64,38 @@ def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     got = {r["doc_id"]: r["class_id"] for r in near_classes(docs).collect()}
     assert got == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_blocks_and_pivot_rounds(spark, monkeypatch):
+    """A group of scattered near copies, dealt to many blocks and joined in rounds, has the classes of brute force."""
+    rng = random.Random(3)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(i, " ".join(f"e{rng.randrange(10**6)}" if rng.random() < 0.002 * (i % 30) else x for x in text)) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert len(set(want.values())) > 5
+    monkeypatch.setattr(near_dedup, "SIDE_BYTES", near_dedup.LEAST * 24)
+    monkeypatch.setattr(near_dedup, "PAIRS_A_ROW", 0)
+    assert {r["doc_id"]: r["class_id"] for r in near_classes(docs).collect()} == want
+
+
+def test_block_product_equals_pairs():
+    rng = np.random.default_rng(5)
+    texts = pa.array([" ".join(f"w{i}" for i in rng.integers(0, 6, rng.integers(0, 60))) for _ in range(70)] + ["", "same words here and now " * 30])
+    e, off = near_dedup._elements(texts)
+    x, y = np.arange(0, 72, 2), np.arange(72)
+    block = near_dedup._shared_of_block(e, off, x, y)
+    i, j = np.divmod(np.arange(len(x) * len(y)), len(y))
+    assert (near_dedup._shared_of_pairs(e, off, x[i], y[j]).reshape(block.shape) == block).all()
+    bags = [bag(w) for w in texts.to_pylist()]
+    assert all(block[a, b] == sum((bags[p] & bags[q]).values()) for a, p in enumerate(x) for b, q in enumerate(y))
+
+
+def test_names_and_blanks(spark):
+    rows = [(1, "\t", 5, "a"), (2, "\t", 6, "b"), (3, "  ", 7, "c"), (4, "  ", 8, None), (5, "x y z", 9, "e"), (5, "x y z", 9, "e"), (6, "x y z", 9, "e"), (None, "x y z", 1, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _th string").withColumn("row", F.lit(1)).withColumn("v", F.lit("x"))
+    got = {r["doc_id"]: (r["class_id"], r["kept"]) for r in near_classes(docs).collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (3, True), 4: (4, True), 5: (None, False), 6: (None, False), None: (None, True)}
+    kept = first_of_class(docs)
+    assert kept.columns == docs.columns
+    assert {(r["doc_id"], r["_id"], r["_th"]) for r in kept.collect()} == {(1, 5, "a"), (2, 6, "b"), (3, 7, "c"), (4, 8, None), (None, 1, "n")}

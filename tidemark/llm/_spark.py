@@ -35,14 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, *extra: str) -> DataFrame:
-    """doc_id, text and the internal row key (_id, _th). A null id counts as the smallest. Where ids are unique (checked
-    over the id column alone) _th is 0; else it is a hash of the text, so that rows with equal id and text share a key
-    and a result, and equal ids with different texts stay apart."""
-    own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
-    unique = docs.select(own.alias("i")).groupBy("i").count().where("count > 1").isEmpty()
+def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, text, the internal row key (_id, _th) and, if asked for, ``row``: all columns as one struct, so that their names
+    meet no other. A null id counts as the smallest. Where ids are unique (checked over the id column alone) _th is 0; else it
+    is a hash of the text, so that rows with equal id and text share a key and a result, and equal ids with different texts
+    stay apart."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *row)
+    own = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    unique = rows.select(own.alias("i")).groupBy("i").count().where("count > 1").isEmpty()
     th = F.lit(0).cast("bigint") if unique else F.xxhash64("text")
-    return docs.select("doc_id", "text", *extra, own.alias("_id"), th.alias("_th"))
+    return rows.select("*", own.alias("_id"), th.alias("_th", metadata={"unique": unique}))
 
 
 KEY = ["_id", "_th"]

@@ -13,8 +13,16 @@ import pyarrow as pa
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
-_BASE = U64(0x9E3779B97F4A7C15 | 1)
-_INV = U64(pow(int(_BASE), -1, 1 << 64))
+#: Hashes that decide are polynomials modulo the Mersenne prime 2^61 - 1. (Modulo a power of two, Thue-Morse strings of 1,024
+#: letters collide whatever the base.)
+PRIME = (1 << 61) - 1
+_P, _LOW30, _LOW31, _LOW32 = U64(PRIME), U64((1 << 30) - 1), U64((1 << 31) - 1), U64((1 << 32) - 1)
+_BASE = 0x9E3779B97F4A7C15 % PRIME
+_INV = pow(_BASE, -1, PRIME)
+#: Base of the hashes that only choose anchors, modulo 2^64.
+_ROLL = U64(0x9E3779B97F4A7C15 | 1)
+_UNROLL = U64(pow(int(_ROLL), -1, 1 << 64))
+_BLOCK = 1 << 14
 
 SPACE = np.ones(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -24,7 +32,7 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_pow: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -35,29 +43,104 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> U64(61))
+    x -= _P * (x >= _P)
+    return x
+
+
+def _mulmod(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x1, x0, y1, y0 = x >> U64(31), x & _LOW31, y >> U64(31), y & _LOW31
+    mid = x1 * y0
+    mid += x0 * y1
+    x1 *= y1
+    x1 <<= U64(1)
+    x0 *= y0
+    x1 += x0
+    x1 += mid >> U64(30)
+    mid &= _LOW30
+    mid <<= U64(31)
+    x1 += mid
+    return _reduce(x1)
+
+
+def mulmod(x: np.ndarray, y: np.ndarray | np.uint64) -> np.ndarray:
+    """x * y modulo the prime, for reduced x and y, in 64-bit arithmetic; block by block, so that it stays in cache."""
+    y = np.broadcast_to(y, x.shape)
+    if len(x) <= _BLOCK:
+        return _mulmod(x, y)
+    out = np.empty(len(x), dtype=U64)
+    for i in range(0, len(x), _BLOCK):
+        out[i : i + _BLOCK] = _mulmod(x[i : i + _BLOCK], y[i : i + _BLOCK])
+    return out
+
+
+def _grown(kind: str, n: int, make) -> tuple[np.ndarray, np.ndarray]:
+    """Cached tables of at least n powers; a very long text's are not kept."""
+    if kind not in _pow or len(_pow[kind][0]) < n:
+        made = make(1 << max(16, int(n).bit_length()))
+        if len(made[0]) > 1 << 23:
+            return made
+        _pow[kind] = made
+    return _pow[kind]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse mod 2^64, grown on demand; a very long text's are not kept."""
-    if 0 not in _pow or len(_pow[0][0]) < n:
-        size = 1 << max(16, int(n).bit_length())
+    """Powers of the base and of its inverse modulo the prime."""
+
+    def make(size):
         made = []
-        for b in (_BASE, _INV):
-            p = np.full(size, b, dtype=U64)
+        for base in (_BASE, _INV):
+            p, done = np.ones(size, dtype=U64), 1
+            while done < size:
+                p[done : 2 * done] = mulmod(p[:done], U64(pow(base, done, PRIME)))
+                done *= 2
+            made.append(p)
+        return made[0], made[1]
+
+    return _grown("prime", n, make)
+
+
+def roll_hash(units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Position-free hashes of ``units[start:end]`` modulo 2^64: fast, and good enough to choose and meet on anchors, where
+    a collision costs a comparison; never to decide that texts are equal."""
+
+    def make(size):
+        made = []
+        for base in (_ROLL, _UNROLL):
+            p = np.full(size, base, dtype=U64)
             p[0] = 1
             made.append(np.multiply.accumulate(p))
-        if size > 1 << 23:
-            return made[0], made[1]
-        _pow[0] = (made[0], made[1])
-    return _pow[0]
-
+        return made[0], made[1]
 
-def span_hash(units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Position-free hashes of ``units[start:end]`` (uint64 units), each in constant time."""
-    p, inv = powers(len(units) + 1)
+    p, inv = _grown("roll", len(units) + 1, make)
     cum = np.zeros(len(units) + 1, dtype=U64)
     np.cumsum(units * p[: len(units)], out=cum[1:])
     return mix((cum[end] - cum[start]) * inv[start] + (end - start).astype(U64))
 
 
+def _cumulated(x: np.ndarray) -> np.ndarray:
+    c = np.zeros(len(x) + 1, dtype=U64)
+    np.cumsum(x, out=c[1:])
+    return c
+
+
+def span_hash(units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Position-free hashes of ``units[start:end]``, each in constant time. Units are bytes or uint64 hashes (61 bits of
+    which count). Sums of the halves of each term are exact, as no sum reaches 2^64."""
+    p, inv = powers(len(units) + 1)
+    p = p[: len(units)]
+    if units.dtype == np.uint8 and len(units) < 1 << 24:
+        u = units.astype(U64) + U64(1)
+        low, high, half = _cumulated(u * (p & _LOW31)), _cumulated(u * (p >> U64(31))), 31
+    else:
+        term = mulmod(units.astype(U64) + U64(1) if units.dtype == np.uint8 else _reduce(units), p)
+        low, high, half = _cumulated(term & _LOW32), _cumulated(term >> U64(32)), 32
+    own = _reduce(high[end] - high[start])
+    own = ((own << U64(half)) & _P) + (own >> U64(61 - half)) + _reduce(low[end] - low[start])  # a power of two rotates
+    return mix(mulmod(_reduce(own), inv[start]) + (end - start).astype(U64))
+
+
 def byte_units(b: np.ndarray, seed: int = 0) -> np.ndarray:
     return mix(np.arange(256, dtype=U64), 7 + seed)[b]
 
@@ -99,8 +182,8 @@ def words(b: np.ndarray, off: np.ndarray, table: np.ndarray = SPACE) -> tuple[np
     return start, end, np.searchsorted(start, off)
 
 
-def word_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    return span_hash(byte_units(b, seed), start, end)
+def word_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return span_hash(b, start, end)
 
 
 def doc_of(off: np.ndarray) -> np.ndarray:
@@ -131,7 +214,7 @@ def spans(units: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[n
         return z, z, z, z.astype(U64)
     n = len(units)
     pos = np.arange(n - gram + 1)
-    h = span_hash(units, pos, pos + gram)
+    h = roll_hash(units, pos, pos + gram)
     m = (h & U64(0xFFFFFFFF00000000)) | pos.astype(U64)
     width, done = window - gram + 1, 1
     while done < width:  # sliding minimum by doubling

@@ -49,7 +49,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
     than five words have no shingles and never match; an item of null id is an item of its own, by text, with a null item_id; a document shorter than an item is one window. Null text has no words; rows equal
     in id and text give one result; empty tables give no rows; other columns are ignored.
     """
-    base = keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    base = keyed(docs)
     items = benchmark.select(F.expr("coalesce(CAST(item_id AS bigint), -9223372036854775808L)").alias("_iid"), F.expr("IF(item_id IS NULL, xxhash64(text), 0L)").alias("_ith"), word_hashes(F.col("text")).alias("w"))
     items = items.withColumn("ish", shingles("w")).where(F.size("ish") > 0).select(*ITEM, F.size("w").alias("len"), "ish")
     items = written(items.withColumn("ifp", F.expr(_SIM.format(a="ish"))), "benchmark-items")
@@ -84,4 +84,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The documents, with all their columns, that hold no passage of the benchmark."""
     found = written(leaks(docs, benchmark, threshold).select(*KEY).distinct(), "leaky-documents")
-    return keyed(docs, *[c for c in docs.columns if c not in ("doc_id", "text")]).join(small_or_shuffled(found), KEY, "left_anti").select(*docs.columns)
+    return keyed(docs, whole=True).join(small_or_shuffled(found), KEY, "left_anti").select("row.*")

@@ -13,15 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm import _text as t
 from tidemark.llm._spark import held_out
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4)
-#: Bounds of the training sample: labelled rows, and the size of a text that may be drawn into it.
+#: Bound of the training sample: labelled rows. A row's bag has at most BUCKETS entries, whatever the length of its text.
 SAMPLE_ROWS = 3000
-SAMPLE_TEXT_BYTES = 200_000
 
 
 def features(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +38,7 @@ def features(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     u = t.byte_units(b)
     for k in GRAMS:
         at = t.windows_ok(off, k)
-        ids.append(t.mix(t.span_hash(u, at, at + k), k)), owner.append(np.searchsorted(off, at, "right") - 1)
+        ids.append(t.mix(t.roll_hash(u, at, at + k), k)), owner.append(np.searchsorted(off, at, "right") - 1)
     ids, owner = np.concatenate(ids), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
     return (ids[order] & np.uint64(BUCKETS - 1)).astype(np.int32), np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
@@ -96,10 +96,10 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int = 12,
 def train(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
     """Fit on a bounded sample of labelled rows: the ``rows`` smallest id hashes among labelled documents outside the held-out
     part. Only the sample's feature counts reach the driver."""
-    known = labels.where(~held_out(mod, rest) & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("_d"), F.col(label).cast("int").alias("y"))
+    known = labels.where(~held_out(mod, rest) & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("_d"), F.col(label).cast("int").alias("y"))
     known = known.groupBy("_d").agg(F.max("y").alias("y"))
     sample = F.broadcast(known.orderBy(F.xxhash64("_d"), "_d").limit(rows))  # bounded by ``rows``
-    text = docs.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_d")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "y", "text")
+    text = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_d")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "y", "text")
     got = text.mapInArrow(_bags, "doc_id bigint, y int, ids array<int>, counts array<int>").toArrow()
     order = np.argsort(np.asarray(got.column("doc_id")), kind="stable")
     # Views into the Arrow buffers: no list of Python numbers is made on the driver.
@@ -113,25 +113,24 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, label
     return fit([bags[i] for i in order], y[order])
 
 
-def score(docs: DataFrame, model: Model, extra: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted and the ``extra`` columns, row by row. Null text is empty and gets the bias alone."""
-    names = extra or []
+def score(docs: DataFrame, model: Model, whole: bool = False, threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score, predicted and, with ``whole``, the row as a struct. Null text is empty and gets the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out(4, 2).alias("held_out"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * whole)
+    kept = ["doc_id", "held_out", *["row"] * whole]
 
     def run(batches):
         for batch in batches:
             for a, z, b, off in t.chunks(batch.column("text")):
                 p = shared.value.scores(b, off)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(a, z - a) for c in ("doc_id", "held_out")), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *(batch.column(f"_keep_{c}").slice(a, z - a) for c in names)],
-                    names=["doc_id", "held_out", "score", "predicted", *[f"_keep_{c}" for c in names]],
-                )
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, z - a) for c in kept), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out(4, 2).alias("held_out"), *[F.col(c).alias(f"_keep_{c}") for c in names])
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int" + "".join(f", _keep_{c} {docs.schema[c].dataType.simpleString()}" for c in names))
+    schema = StructType([rows.schema[c] for c in kept]).add("score", "double").add("predicted", "integer")
+    return rows.mapInArrow(run, schema)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, extra: list[str] | None = None) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, whole: bool = False) -> DataFrame:
     """Train on ``labels`` and score every whole text. Labels, language, source and id are no inputs of a score. Empty tables
-    of documents give no rows; without labels every score is 1/2; other columns are ignored unless named in ``extra``."""
-    return score(docs, train(docs, labels), extra)
+    of documents give no rows; without labels every score is 1/2; labels other than 0 and 1 are ignored; other columns are
+    ignored unless ``whole`` asks for them."""
+    return score(docs, train(docs, labels), whole)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm import _text as t
 from tidemark.llm._spark import KEY, keyed, shared_folder
@@ -144,8 +145,8 @@ def _removed(window: int):
                 n, kept = np.diff(woff), np.diff(koff)
                 kept_text = [x.decode() if n[i] != kept[i] else None for i, x in enumerate(texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, z - a), pa.array(n.astype(np.int64)), pa.array((n - kept).astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), pa.array(kept_text, type=pa.string()), *(batch.column(c).slice(a, z - a) for c in batch.schema.names if c.startswith("_keep_"))],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *(c for c in batch.schema.names if c.startswith("_keep_"))],
+                    [batch.column("doc_id").slice(a, z - a), pa.array(n.astype(np.int64)), pa.array((n - kept).astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), pa.array(kept_text, type=pa.string()), *(batch.column(c).slice(a, z - a) for c in batch.schema.names if c == "row")],
+                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *(c for c in batch.schema.names if c == "row")],
                 )
 
     return run
@@ -217,16 +218,15 @@ class FingerprintIndex:
         return reduce(DataFrame.unionByName, self.links).groupBy(*KEY).agg(F.collect_set("fp").alias("fps"))
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, extra: list[str] | None = None, min_batch: int = 2) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, whole: bool = False) -> DataFrame:
     """Remove each word covered by a ``window``-word sequence that also starts earlier (smaller id, or same document).
 
-    Returns doc_id, n_words, n_removed, kept_sha256, kept_text (null where nothing went) and, under ``_keep_`` names, the
-    ``extra`` columns. Documents are added to the index in ``batches`` by ascending id. Null text has no words; an empty
+    Returns doc_id, n_words, n_removed, kept_sha256, kept_text (null where nothing went) and, with ``whole``, the
+    row as a struct. Documents are added to the index in ``batches`` by ascending id. Null text has no words; an empty
     table gives no rows; rows equal in id and text count once and each gets the result; other columns are ignored.
     """
     spark = docs.sparkSession
-    keep = [F.col(c).alias(f"_keep_{c}") for c in extra or []]
-    base = keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep), *[f"_keep_{c}" for c in extra or []])
+    base = keyed(docs, whole)
     index = FingerprintIndex(spark, window)
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
@@ -251,5 +251,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, extra:
     again = split_first(single)[1].withColumn("n", F.lit(1))
     # The test of fp always holds; it keeps this branch's exchanges equal to those of ``firsts``.
     gone = later.where("fp is not null").drop("fp").unionByName(again)
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string" + "".join(f", _keep_{c} {docs.schema[c].dataType.simpleString()}" for c in extra or [])
+    schema = StructType.fromDDL("doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    if whole:
+        schema = schema.add("row", base.schema["row"].dataType)
     return base.join(packed_runs(gone).hint("merge"), KEY, "left").mapInArrow(_removed(window), schema)

@@ -59,7 +59,7 @@ def _shared_runs(length: int):
                 doc, start, n, fp = doc[keep], start[keep], n[keep], fp[keep]
                 if not len(doc):
                     continue
-                h = t.span_hash(t.byte_units(b, 1), start, start + n + length - 1)
+                h = t.span_hash(b, start, start + n + length - 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(t.as_i64(h)), pa.array(t.as_i64(fp)), pa.array(ids[a:z][doc]), pa.array(ths[a:z][doc]), pa.array((start - off[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
                     names=["h", "fp", *KEY, "start", "n"],
@@ -100,7 +100,7 @@ def _pieces(length: int, shards: int):
                     k = np.flatnonzero(hot)
                     w = expand(start[k], n[k])
                     who = np.repeat(doc[k], n[k])
-                    h = t.span_hash(t.byte_units(b, 2), w, w + length)
+                    h = t.span_hash(b, w, w + length)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(w), -1, dtype=np.int64)), pa.array(ids[a:z][who]), pa.array(ths[a:z][who]), pa.array((w - off[who]).astype(np.int32)), pa.array(np.repeat(single[k], n[k])), pa.nulls(len(w), pa.binary()), pa.array(t.as_i64(h))],
                         names=["shard", *KEY, "start", "single", "piece", "w"],
@@ -165,7 +165,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    base = keyed(docs)
     # Each exchange below is named, so that the two readers of it (an aggregate and a join on the same key) share it.
     fps = base.select(*KEY, "text").mapInArrow(_fingerprints(length), "fp bigint, _id bigint, _th bigint").repartition(parts, "fp")
     key = F.struct(*KEY)
