@@ -19,9 +19,8 @@ ORACLE_SQL = None
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts (score 0.7 or more), unchanged."""
-    others = [c for c in docs.columns if c != "doc_id"]
-    scored = quality.quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), extra=others)
-    return scored.where("predicted = 1").select(*[F.col("doc_id" if c == "doc_id" else f"_keep_{c}").alias(c) for c in docs.columns])
+    scored = quality.quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), whole=True)
+    return scored.where("predicted = 1").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +31,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that start earlier; a text that loses words keeps the others, joined by one
     space. A document that loses every word goes."""
-    out = substring_dedup.substring_dedup(docs, extra=[c for c in docs.columns if c != "doc_id"])
-    out = out.where("n_removed < n_words or n_words = 0").withColumn("_text", F.coalesce("kept_text", "_keep_text"))
-    made = {"doc_id": F.col("doc_id"), "text": F.col("_text"), "n_chars": F.when(F.col("kept_text").isNull(), F.col("_keep_n_chars")).otherwise(F.length("_text")).cast("bigint")}
-    return out.select(*[made.get(c, F.col(f"_keep_{c}")).alias(c) for c in docs.columns])
+    out = substring_dedup.substring_dedup(docs, whole=True)
+    out = out.where("n_removed < n_words or n_words = 0")
+    old = {c: F.col("row").getField(c) for c in docs.columns}
+    text = F.coalesce("kept_text", old["text"])
+    made = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), old.get("n_chars")).otherwise(F.length(text)).cast("bigint")}
+    return out.select(*[made.get(c, old[c]).alias(c) for c in docs.columns])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
