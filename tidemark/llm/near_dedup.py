@@ -22,14 +22,14 @@ from tidemark.llm._spark import KEY, keyed, small_or_shuffled, written
 SHINGLE = 5
 ROWS, BANDS = 5, 26
 WORD = "[^\\x20\\x09-\\x0D]"
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Pivots of a bucket in the first extra round, and pairs between classes a bucket row that are verified at once.
 PIVOTS, PAIRS_A_ROW = 8, 64
 #: Bytes of text in one side of a block and in a shard of blocks; a document counts as LEAST bytes at least, which bounds a
 #: block's documents.
-SIDE_BYTES, SHARD_BYTES, LEAST = 4 << 20, 8 << 20, 2 << 10
+SIDE_BYTES, SHARD_BYTES, LEAST = 3 << 20, 6 << 20, 2 << 10
 #: Incidences of a dense slice of a block's product, and pairs of a block above which it is used.
-SLICE, DENSE_PAIRS = 1 << 22, 256
+SLICE, DENSE_PAIRS = 1 << 19, 256
 
 
 def bag(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,7 +95,7 @@ def _elements(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarra
     """Shingle occurrences of each row as distinct elements (shingle, how often before), and the rows' offsets: the overlap of
     two bags is the number of equal elements."""
     parts, sizes = [], []
-    for a, z, b, off in t.chunks(column, CHUNK):
+    for a, z, b, off in t.chunks(column):
         doc, h, c = bag(b, off)
         k = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
         parts.append(t.mix(np.repeat(h, c) + t.mix(k.astype(np.uint64), 4)))
