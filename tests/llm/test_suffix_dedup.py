@@ -5,7 +5,8 @@ from collections import Counter
 import numpy as np
 
 from tidemark.llm import suffix_dedup as sd
-from tidemark.llm.suffix_array import _doubling, permuted_prefixes, suffix_array
+from tidemark.llm import _text as t
+from tidemark.llm.suffix_array import permuted_prefixes, repeated_starts, suffix_array
 
 
 def brute(rows, length=200):
@@ -59,16 +60,39 @@ def test_table(spark, sf_dir):
 
 def test_suffix_array_and_prefixes():
     rng = random.Random(1)
-    for _ in range(150):
+    for trial in range(200):
         k = rng.choice([1, 2, 3, 200])
-        s = np.array([rng.randint(1, k) for _ in range(rng.randint(1, 60))] + [0])
+        s = np.array([rng.randint(1, k) for _ in range(rng.randint(1, 60))] * (1 + trial % 4 // 3) + [0], dtype=np.uint16)
         sa = suffix_array(s)
         assert list(sa) == sorted(range(len(s)), key=lambda i: list(s[i:]))
-        phi, plcp = permuted_prefixes(s, sa)
+        phi, plcp = permuted_prefixes(s, sa, np.array([0]), 1000)
         for i, j in enumerate(phi):
             n = 0
             while j >= 0 and max(i, j) + n < len(s) and s[i + n] == s[j + n]:
                 n += 1
             assert plcp[i] == n
-    s = np.array([rng.randint(1, 2) for _ in range(4000)] * 2 + [0])
-    assert (suffix_array(s) == _doubling(s)).all()
+
+
+def test_repeated_starts():
+    rng = random.Random(2)
+    for _ in range(80):
+        length = rng.randint(2, 9)
+        made = lambda: bytes(rng.choice((rng.choices(range(3), k=rng.randint(0, 40)), [rng.randrange(256)] * rng.randint(0, 30))))
+        pieces = [made() for _ in range(rng.randint(1, 12))]
+        count = Counter(x[i : i + length] for x in pieces for i in range(len(x) - length + 1))
+        assert [o.tolist() for o in repeated_starts(pieces, length)] == [[i for i in range(len(x) - length + 1) if count[x[i : i + length]] > 1] for x in pieces]
+
+
+def test_thue_morse_strings_differ(spark):
+    """Hashes modulo a power of two take such strings of 1,024 letters for equal."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    raw = np.frombuffer((a + b + a).encode(), dtype=np.uint8)
+    at = np.array([0, 4096, 8192])
+    h = t.span_hash(raw, at, at + 4096)
+    assert h[0] == h[2] != h[1]
+    units = t.word_hashes(raw, np.arange(len(raw)), np.arange(len(raw)) + 1)
+    h = t.span_hash(units, at, at + 4096)
+    assert h[0] == h[2] != h[1]
+    texts = [(1, a[:1024]), (2, b[:1024]), (3, a[:2048] + "." + b[:2048])]
+    assert result(sd.suffix_dedup(spark.createDataFrame(texts, "doc_id long, text string"))) == brute(texts)

@@ -44,7 +44,8 @@ def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *row)
     own = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     unique = rows.select(own.alias("i")).groupBy("i").count().where("count > 1").isEmpty()
-    th = F.lit(0).cast("bigint") if unique else F.xxhash64("text")
+    # Zero, but no literal: the optimizer would push "_th = 0" into one reader of a shared exchange and so split it.
+    th = own.bitwiseAND(F.lit(0)) if unique else F.xxhash64("text")
     return rows.select("*", own.alias("_id"), th.alias("_th", metadata={"unique": unique}))
 
 

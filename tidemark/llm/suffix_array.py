@@ -1,184 +1,168 @@
-"""Suffix arrays by induced sorting, vectorised bucket by bucket, and permuted common prefixes."""
+"""Suffix arrays by induced sorting, and permuted common prefixes.
+
+A path is the run of (character, type) pairs from a position to the next leftmost-smaller position, inclusive. At equal
+characters a larger-type suffix precedes a smaller-type one, so suffixes compare as their paths do and, for equal paths, as the
+leftmost-smaller suffixes in which these end. Paths of leftmost-smaller positions are their substrings: they are sorted and named,
+the string of names is sorted recursively, and its ranks induce the order of all suffixes. Both sorts are radix
+passes over packed paths, linear in the length.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-from tidemark.llm import _text as t
+U64 = np.uint64
+
+
+def _radix(key: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order of unsigned keys of so many bits, 16 bits a pass."""
+    order = np.argsort((key & U64(0xFFFF)).astype(np.uint16), kind="stable")
+    for shift in range(16, bits, 16):
+        digit = (key >> U64(shift)).astype(np.uint16)
+        order = order[np.argsort(digit[order], kind="stable")]
+    return order
+
 
-DIGIT = 512
-MAX_DEPTH = 12
+def _next_true(flags: np.ndarray) -> np.ndarray:
+    """For each position the first set position at or after it (the length if none)."""
+    n = len(flags)
+    return np.minimum.accumulate(np.where(flags, np.arange(n), n)[::-1])[::-1]
 
 
 def _smaller(s: np.ndarray) -> np.ndarray:
     """S-type flags: the suffix is smaller than the next one. Equal runs take the type of the first difference to the
     right; the last position, a unique smallest sentinel, is S-type."""
-    n = len(s)
-    differs = np.ones(n, dtype=bool)
-    differs[:-1] = s[:-1] != s[1:]
-    at = np.flatnonzero(differs)
-    less = np.ones(n, dtype=bool)
+    less = np.ones(len(s), dtype=bool)
     less[:-1] = s[:-1] < s[1:]
-    return less[at[np.searchsorted(at, np.arange(n))]]
-
-
-def _spread(sa: np.ndarray, head: np.ndarray, pos: np.ndarray, ch: np.ndarray, step: int) -> None:
-    """Append positions to the buckets of their characters, in order, from the front (step 1) or the back (-1)."""
-    if not len(pos):
-        return
-    order = np.argsort(ch, kind="stable")  # 16-bit characters: a radix sort
-    c = ch[order]
-    first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-    count = np.diff(np.append(first, len(c)))
-    which = c[first]
-    shift = head[which] - step * first
-    sa[np.repeat(shift, count) + step * np.arange(len(c))] = pos[order]
-    head[which] += step * count
-
-
-def _induce(s: np.ndarray, small: np.ndarray, bounds: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """From sorted leftmost-smaller positions to all suffixes: larger types by ascending bucket, then smaller types by
-    descending bucket. Each bucket is handled in rounds, since positions induced into the bucket itself come next."""
-    k = len(bounds) - 1
-    sa = np.full(len(s), -1, dtype=np.int32 if len(s) < 1 << 31 else np.int64)
-    head, seed_of = bounds[:-1].copy(), s[seeds].astype(np.int64)
-    cut = np.searchsorted(seed_of, np.arange(k + 1))
-    for c in range(k):
-        if bounds[c] == bounds[c + 1]:
-            continue
-        done = bounds[c]
-        while True:
-            front, done = sa[done : head[c]].copy(), head[c]
-            if not len(front):
-                break
-            p = front[front > 0] - 1
-            p = p[~small[p]]
-            _spread(sa, head, p, s[p], 1)
-        p = seeds[cut[c] : cut[c + 1]]
-        p = p[p > 0] - 1
-        p = p[~small[p]]
-        _spread(sa, head, p, s[p], 1)
-    ends = head.copy()  # end of each bucket's larger-type part
-    tail = bounds[1:] - 1
-    for c in range(k - 1, -1, -1):
-        if bounds[c] == bounds[c + 1]:
-            continue
-        done = bounds[c + 1] - 1
-        while True:
-            front, done = sa[tail[c] + 1 : done + 1][::-1].copy(), tail[c]
-            if not len(front):
-                break
-            p = front[front > 0] - 1
-            p = p[small[p]]
-            _spread(sa, tail, p, s[p], -1)
-        p = sa[bounds[c] : ends[c]][::-1]
-        p = p[p > 0] - 1
-        p = p[small[p]]
-        _spread(sa, tail, p, s[p], -1)
-    sa[0] = len(s) - 1
-    return sa
-
-
-def _doubling(s: np.ndarray) -> np.ndarray:
-    """Suffix array by rank doubling, for the rare string whose recursion would not shrink."""
-    rank, step, n = s.astype(np.int64), 1, len(s)
-    while True:
-        nxt = np.full(n, -1, dtype=np.int64)
-        if step < n:
-            nxt[:-step] = rank[step:]
-        sa = np.lexsort((nxt, rank))
-        new = np.ones(n, dtype=bool)
-        new[1:] = (rank[sa[1:]] != rank[sa[:-1]]) | (nxt[sa[1:]] != nxt[sa[:-1]])
-        rank = np.empty(n, dtype=np.int64)
-        rank[sa] = np.cumsum(new) - 1
-        if new.all():
-            return sa
-        step *= 2
-
-
-def suffix_array(s: np.ndarray, depth: int = 0) -> np.ndarray:
-    """Suffix array of non-negative integers whose last element is a unique smallest 0.
-
-    Positions are classified, leftmost-smaller substrings are sorted by one induction and named; where names repeat, the
-    string of names is sorted recursively (each name written in base-512 digits, so every level has few buckets); a second
-    induction gives all suffixes.
-    """
+    differs = np.ones(len(s), dtype=bool)
+    differs[:-1] = s[:-1] != s[1:]
+    return less[_next_true(differs)]
+
+
+class _Paths:
+    """The paths of a string, read in layers of as many codes as a 64-bit word holds."""
+
+    def __init__(self, s: np.ndarray):
+        small = _smaller(s)
+        first = np.zeros(len(s), dtype=bool)
+        first[1:] = small[1:] & ~small[:-1]
+        self.lms = np.flatnonzero(first)
+        self.code = s.astype(U64) * U64(2) + small + U64(1)
+        self.bits = int(self.code.max()).bit_length()
+        self.per = max(1, 63 // self.bits)
+        # The sentinel's path is itself; every other path ends at the next leftmost-smaller position.
+        self.end = np.append(_next_true(first)[1:], len(s) - 1)
+
+    def layer(self, at: np.ndarray, depth: int) -> np.ndarray:
+        """Codes depth*per .. of the paths from ``at``, packed; 0 beyond a path's end."""
+        out, end = np.zeros(len(at), dtype=U64), self.end[at]
+        for k in range(depth * self.per, (depth + 1) * self.per):
+            here = at + k
+            inside = here <= end
+            out <<= U64(self.bits)
+            out |= np.where(inside, self.code[np.minimum(here, end)], U64(0))
+        return out
+
+    def order(self, at: np.ndarray, tie: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``at`` sorted by path (then by ``tie`` of the path's end), and the slot where each run of equal ones begins."""
+        m, depth = len(at), 1
+        key = self.layer(at, 0)
+        order = _radix(key, self.per * self.bits)
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])[:m]
+        group = _slots(new, np.arange(m))
+        rest = np.flatnonzero(_several(new))
+        # Equal codes end together, so groups stay whole: in ``rest`` or out of it.
+        while len(rest := rest[self.end[at[order[rest]]] - at[order[rest]] >= depth * self.per]):
+            who, old = order[rest], group[rest]
+            key = self.layer(at[who], depth)
+            by = np.lexsort((key, old))
+            order[rest] = who[by]
+            key = key[by]
+            new = np.append(True, (old[1:] != old[:-1]) | (key[1:] != key[:-1]))
+            group[rest] = _slots(new, rest)
+            rest = rest[_several(new)]
+            depth += 1
+        if tie is not None:
+            rest = np.flatnonzero(_several(np.append(True, group[1:] != group[:-1])[:m]))
+            if len(rest):
+                who = order[rest]
+                width = int(len(tie)).bit_length()
+                key = (group[rest].astype(U64) << U64(width)) | tie[self.end[at[who]]].astype(U64)
+                order[rest] = who[_radix(key, width + int(m).bit_length())]
+        return order, group
+
+
+def _slots(new: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """The slot of the first member of each element's group."""
+    at = np.flatnonzero(new)
+    return np.repeat(slot[at], np.diff(np.append(at, len(new))))
+
+
+def _several(new: np.ndarray) -> np.ndarray:
+    """Elements of groups with several members, where ``new`` marks the first of each."""
+    again = ~new
+    again[:-1] |= ~new[1:]
+    return again
+
+
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """Suffix array of non-negative integers whose last element is a unique smallest 0."""
+    if len(s) < 2:
+        return np.arange(len(s))
+    paths = _Paths(s)
+    order, group = paths.order(paths.lms)
+    name = np.empty(len(order), dtype=np.int64)
+    name[order] = np.cumsum(np.append(0, group[1:] != group[:-1]))
+    # The last name is the sentinel's, the smallest and unique, so the names are such a string again.
+    sub = np.argsort(name) if name.max() + 1 == len(name) else suffix_array(name)
+    rank = np.zeros(len(s), dtype=np.int64)
+    rank[paths.lms[sub]] = np.arange(len(sub))
+    return paths.order(np.arange(len(s)), rank)[0]
+
+
+def permuted_prefixes(s: np.ndarray, sa: np.ndarray, starts: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text position the preceding suffix in order (-1 for the first) and their common prefix, in text order.
+
+    Where the characters before both are equal, the common prefix is one less than its left neighbour's; only at the other
+    positions, and at ``starts``, characters are compared, up to ``cap``. So values are exact within ``cap`` less the distance
+    from the last start."""
     n = len(s)
-    if n < 3 or depth > MAX_DEPTH:
-        return _doubling(s)
-    s = s.astype(np.uint16) if s.max() < 1 << 16 else s
-    small = _smaller(s)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    bounds = np.concatenate(([0], np.cumsum(np.bincount(s))))
-    by_char = lms[np.argsort(s[lms], kind="stable")]
-    if len(lms) > 1:
-        sa = _induce(s, small, bounds, by_char)
-        is_lms = np.zeros(n, dtype=bool)
-        is_lms[lms] = True
-        order = sa[is_lms[sa]]
-        end = np.minimum(np.append(lms[1:], n - 1) + 1, n)
-        h = np.zeros(n, dtype=np.uint64)
-        h[lms] = t.span_hash(t.mix(s.astype(np.uint64)), lms, end)
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = h[order[1:]] != h[order[:-1]]
-        name = np.zeros(n, dtype=np.int64)
-        name[order] = np.cumsum(new) - 1
-        if new.all():
-            by_char = order
-        else:
-            names = name[lms]
-            width = 1
-            while DIGIT**width <= names.max() + 1:
-                width += 1
-            digits = np.stack([(names // DIGIT ** (width - 1 - i)) % DIGIT for i in range(width)], axis=1).ravel() + 1
-            coded = np.append(digits, 0)
-            sub = suffix_array(coded, depth + 1) if len(coded) < n else _doubling(coded)
-            sub = sub[(sub < len(digits)) & (sub % width == 0)] // width
-            by_char = lms[sub]
-    return _induce(s, small, bounds, by_char)
-
-
-def permuted_prefixes(s: np.ndarray, sa: np.ndarray, cap: int = 255) -> tuple[np.ndarray, np.ndarray]:
-    """For each text position the preceding suffix in order (-1 for the first) and their common prefix, up to ``cap``
-    (one less than a power of two), in text order."""
-    phi = np.full(len(s), -1, dtype=np.int64)
+    phi = np.full(n, -1, dtype=np.int64)
     phi[sa[1:]] = sa[:-1]
-    at = np.flatnonzero(phi >= 0)
+    own = np.ones(n, dtype=bool)
+    own[1:] = (phi[1:] <= 0) | (s[:-1] != s[phi[1:] - 1])
+    own[starts] = True
+    at = np.flatnonzero(own)
     other, length = phi[at], np.zeros(len(at), dtype=np.int64)
-    n, p, inv = len(s), *t.powers(len(s) + 1)
-    cum = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(t.mix(s.astype(np.uint64)) * p[:n], out=cum[1:])
-    step = (cap + 1) // 2
-    while step:
-        a, b = at + length, other + length
-        fits = (a + step <= n) & (b + step <= n)
-        a1, b1 = np.where(fits, a, 0), np.where(fits, b, 0)
-        same = (cum[np.where(fits, a1 + step, 0)] - cum[a1]) * inv[a1] == (cum[np.where(fits, b1 + step, 0)] - cum[b1]) * inv[b1]
-        length += np.where(fits & same, step, 0)
-        step //= 2
-    plcp = np.zeros(n, dtype=np.int64)
-    plcp[at] = length
-    return phi, plcp
+    padded = np.concatenate([s.astype(np.uint64), np.zeros(4, dtype=np.uint64)])
+    four = padded[:n] | padded[1 : n + 1] << U64(16) | padded[2 : n + 2] << U64(32) | padded[3 : n + 3] << U64(48)
+    live = np.flatnonzero(other >= 0)
+    while len(live):
+        a, b = at[live] + length[live], other[live] + length[live]
+        inside = (a < n) & (b < n)
+        diff = np.where(inside, four[np.minimum(a, n - 1)] ^ four[np.minimum(b, n - 1)], U64(1))
+        equal = diff == 0
+        low = diff & (~diff + U64(1))  # the lowest differing bit tells how many characters are equal
+        length[live] += np.where(equal, 4, (low >= U64(1 << 16)).astype(np.int64) + (low >= U64(1 << 32)) + (low >= U64(1 << 48)))
+        live = live[equal & (length[live] < cap)]
+    last = np.maximum.accumulate(np.where(own, np.arange(n), 0))
+    value = np.zeros(n, dtype=np.int64)
+    value[at] = length
+    return phi, np.maximum(value[last] - (np.arange(n) - last), 0)
 
 
 def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
     """For each piece the offsets at which a ``length``-byte string starts that also starts elsewhere in the pieces."""
     text = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     sizes = np.array([len(x) for x in pieces], dtype=np.int64)
-    own = np.repeat(np.arange(len(pieces)), sizes)
-    where = np.arange(len(text)) + own  # a separator follows each piece
-    s = np.ones(len(text) + len(pieces) + 1, dtype=np.int64)
-    s[where] = text.astype(np.int64) + 2
+    first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])).astype(np.int64)
+    s = np.ones(len(text) + len(pieces) + 1, dtype=np.uint16)  # a separator follows each piece
+    s[np.arange(len(text)) + np.repeat(np.arange(len(pieces)), sizes)] = text.astype(np.uint16) + 2
     s[-1] = 0
-    cap = (1 << int(length).bit_length()) - 1
-    phi, plcp = permuted_prefixes(s, suffix_array(s), cap)
+    phi, plcp = permuted_prefixes(s, suffix_array(s), first, int(sizes.max(initial=0)) + length)
     hit = np.zeros(len(s), dtype=bool)
     long = np.flatnonzero(plcp >= length)
     hit[long] = True
     hit[phi[long]] = True
-    first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    out = []
-    for i, f in enumerate(first):
-        room = max(0, int(sizes[i]) - length + 1)
-        out.append(np.flatnonzero(hit[f : f + room]))
-    return out
+    return [np.flatnonzero(hit[f : f + max(0, int(n) - length + 1)]) for f, n in zip(first, sizes)]

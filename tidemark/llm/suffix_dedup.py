@@ -21,7 +21,8 @@ from tidemark.llm.substring_dedup import _lists, expand, packed_runs, shared_mas
 from tidemark.llm.suffix_array import repeated_starts
 
 GRAM = 64
-SHARDS_PER_PARTITION = 8
+#: Bytes of input text for each shard.
+SHARD_BYTES = 1 << 20
 #: Runs of one anchor above which its shard would be large: their windows are matched by hash, each in its own group.
 HOT_RUNS = 2000
 
@@ -30,6 +31,24 @@ def _cut(b, off, length):
     return t.spans(t.byte_units(b), off, length, GRAM)
 
 
+#: States of a row that is exchanged by a hash: seen once in its chunk, the first of several there, a further one. Only the
+#: first of several carries the hash; the others already know that it recurs and are dealt evenly, so no hash makes a hot task.
+ONCE, LEAD, FURTHER = 0, 1, 2
+
+
+def thinned(h: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exchange keys and states of a chunk's rows by their hashes; ``again`` marks rows that recur for another reason."""
+    order = np.argsort(h, kind="stable")
+    new = np.append(True, h[order][1:] != h[order][:-1])[: len(h)]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(h)))
+    state = np.empty(len(h), dtype=np.int8)
+    state[order] = np.where(np.repeat(size, size) > 1, np.where(new, LEAD, FURTHER), ONCE)
+    state[again & (state == ONCE)] = LEAD
+    spread = t.mix(h + np.arange(len(h), dtype=np.uint64), 21)
+    return np.where(state == FURTHER, spread, h), state
+
+
 def _fingerprints(length: int):
     def run(batches):
         for batch in batches:
@@ -43,8 +62,10 @@ def _fingerprints(length: int):
                 new = np.ones(len(doc), dtype=bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
                 first = np.flatnonzero(new)
-                first = np.repeat(first, np.minimum(np.diff(np.append(first, len(doc))), 2))  # two rows say that one document has it twice
-                yield pa.RecordBatch.from_arrays([pa.array(t.as_i64(h[first])), pa.array(ids[a:z][doc[first]]), pa.array(ths[a:z][doc[first]])], names=["fp", *KEY])
+                many = np.diff(np.append(first, len(doc))) > 1
+                key, state = thinned(h[first], many)
+                own = doc[first]
+                yield pa.RecordBatch.from_arrays([pa.array(t.as_i64(key)), pa.array(t.as_i64(h[first])), pa.array(ids[a:z][own]), pa.array(ths[a:z][own]), pa.array(state)], names=["k", "fp", *KEY, "state"])
 
     return run
 
@@ -59,52 +80,62 @@ def _shared_runs(length: int):
                 doc, start, n, fp = doc[keep], start[keep], n[keep], fp[keep]
                 if not len(doc):
                     continue
-                h = t.span_hash(b, start, start + n + length - 1)
+                key, state = thinned(t.span_hash(b, start, start + n + length - 1), np.zeros(len(doc), dtype=bool))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(t.as_i64(h)), pa.array(t.as_i64(fp)), pa.array(ids[a:z][doc]), pa.array(ths[a:z][doc]), pa.array((start - off[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["h", "fp", *KEY, "start", "n"],
+                    [pa.array(t.as_i64(key)), pa.array(t.as_i64(fp)), pa.array(ids[a:z][doc]), pa.array(ths[a:z][doc]), pa.array((start - off[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(state)],
+                    names=["h", "fp", *KEY, "start", "n", "state"],
                 )
 
     return run
 
 
-SINGLE, HOT = 1 << 30, 1 << 29
+#: Flag of a run that occurs once as a whole.
+SINGLE = 1 << 30
+
+
+def _own_runs(batch, a: int, z: int, off: np.ndarray):
+    """Document, start, windows and flag of the runs listed with a chunk's documents."""
+    flat, loff = _lists(batch, "runs", a, z)
+    doc = np.repeat(np.arange(z - a), np.diff(loff))
+    flags = flat & 0xFFFFFFFF
+    return doc, (flat >> 32) + off[doc] if len(flat) else flat, flags & (SINGLE - 1), (flags & SINGLE) > 0
 
 
 def _pieces(length: int, shards: int):
-    """(key, text, runs) -> the text of each run for its shard, or for a hot anchor the hash of each window, which then is
-    its own group."""
+    """(key, text, runs) -> the text of each run for the shard of its anchor."""
 
     def run(batches):
         for batch in batches:
             ids, ths = (np.asarray(batch.column(c)) for c in KEY)
             for a, z, b, off in t.chunks(batch.column("text")):
-                flat, loff = _lists(batch, "runs", a, z)
-                if not len(flat):
+                doc, start, n, single = _own_runs(batch, a, z, off)
+                if not len(doc):
+                    continue
+                _, ss, _, fp = _cut(b, off, length)
+                shard = (t.mix(fp[np.searchsorted(ss, start)], 8) % np.uint64(shards)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard), pa.array(ids[a:z][doc]), pa.array(ths[a:z][doc]), pa.array((start - off[doc]).astype(np.int32)), pa.array(single), pa.array([b[s:e].tobytes() for s, e in zip(start, start + n + length - 1)], type=pa.binary())],
+                    names=["shard", *KEY, "start", "single", "piece"],
+                )
+
+    return run
+
+
+def _windows(length: int):
+    """(key, text, runs) -> the hash of each window of the runs of crowded anchors."""
+
+    def run(batches):
+        for batch in batches:
+            ids, ths = (np.asarray(batch.column(c)) for c in KEY)
+            for a, z, b, off in t.chunks(batch.column("text")):
+                doc, start, n, single = _own_runs(batch, a, z, off)
+                if not len(doc):
                     continue
-                doc = np.repeat(np.arange(z - a), np.diff(loff))
-                start, flags = (flat >> 32) + off[doc], flat & 0xFFFFFFFF
-                n = flags & (HOT - 1)
-                dd, ss, nn, fp = _cut(b, off, length)
-                at = np.searchsorted(ss, start)
-                single, hot = (flags & SINGLE) > 0, (flags & HOT) > 0
-                cold = np.flatnonzero(~hot)
-                shard = t.as_i64(fp[at]) % shards
-                own = doc[cold]
+                w, who = expand(start, n), np.repeat(doc, n)
+                h = t.span_hash(b, w, w + length)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard[cold].astype(np.int64)), pa.array(ids[a:z][own]), pa.array(ths[a:z][own]), pa.array((start - off[doc])[cold].astype(np.int32)), pa.array(single[cold]),
-                     pa.array([b[s:e].tobytes() for s, e in zip(start[cold], (start + n + length - 1)[cold])], type=pa.binary()), pa.nulls(len(cold), pa.int64())],
-                    names=["shard", *KEY, "start", "single", "piece", "w"],
+                    [pa.array(t.as_i64(h)), pa.array(ids[a:z][who]), pa.array(ths[a:z][who]), pa.array((w - off[who]).astype(np.int32)), pa.array(np.repeat(single, n))], names=["w", *KEY, "start", "single"]
                 )
-                if hot.any():
-                    k = np.flatnonzero(hot)
-                    w = expand(start[k], n[k])
-                    who = np.repeat(doc[k], n[k])
-                    h = t.span_hash(b, w, w + length)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(w), -1, dtype=np.int64)), pa.array(ids[a:z][who]), pa.array(ths[a:z][who]), pa.array((w - off[who]).astype(np.int32)), pa.array(np.repeat(single[k], n[k])), pa.nulls(len(w), pa.binary()), pa.array(t.as_i64(h))],
-                        names=["shard", *KEY, "start", "single", "piece", "w"],
-                    )
 
     return run
 
@@ -165,26 +196,30 @@ def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = keyed(docs)
-    # Each exchange below is named, so that the two readers of it (an aggregate and a join on the same key) share it.
-    fps = base.select(*KEY, "text").mapInArrow(_fingerprints(length), "fp bigint, _id bigint, _th bigint").repartition(parts, "fp")
-    key = F.struct(*KEY)
-    shared = fps.groupBy("fp").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("c")).where("c > 1 or lo <> hi").select("fp")
-    lists = fps.join(shared.hint("merge"), "fp", "left_semi").groupBy(*KEY).agg(F.collect_set("fp").alias("fps"))
-    runs = base.join(lists.hint("merge"), KEY).mapInArrow(_shared_runs(length), "h bigint, fp bigint, _id bigint, _th bigint, start int, n int").repartition(parts, "h")
-    at = F.struct(*KEY, "start", "n")
-    variants = runs.groupBy("h").agg(F.min("fp").alias("fp"), F.min(at).alias("lo"), F.max(at).alias("hi"))
-    # The condition on fp always holds; it makes this join read the columns that the aggregate reads.
-    several = variants.where("lo <> hi").select("h", "fp").hint("merge")
-    whole = runs.alias("r").join(several.alias("v"), (F.col("r.h") == F.col("v.h")) & (F.col("r.fp") - F.col("v.fp") == 0), "left_semi").select(*KEY, "start", "n")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    every = keyed(docs)
+    base = every if every.schema["_th"].metadata["unique"] else every.dropDuplicates(KEY)
+    # Each exchange below is named, and its readers (an aggregate and a join) share it and the pass over the text under it: the
+    # join takes the aggregate's columns under new names, and conditions that always hold make both read every column and state
+    # that none is null. (A semi-join would be pushed below the exchange; an inner one against unique keys is not.)
+    fps = base.select(*KEY, "text").mapInArrow(_fingerprints(length), "k bigint, fp bigint, _id bigint, _th bigint, state tinyint").where("k is not null and fp is not null and state is not null and _id is not null and _th is not null").repartition(parts, "k")
+    seen = fps.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.max("state").alias("s"), F.max("fp").alias("f"), F.max("_id").alias("i"), F.max("_th").alias("t"))
+    shared = seen.where(f"c > 1 or s >= {LEAD}").where("i is not null and t is not null").select(F.col("k").alias("k2"), "s", "f")
+    alike = (F.col("k") == F.col("k2")) & (F.col("fp") - F.col("f") == 0) & (F.col("state") - F.col("s") <= 0)
+    lists = fps.join(shared.hint("merge"), alike).groupBy(*KEY).agg(F.collect_set("fp").alias("fps"))
+    runs = base.join(lists.hint("merge"), KEY).mapInArrow(_shared_runs(length), "h bigint, fp bigint, _id bigint, _th bigint, start int, n int, state tinyint").where("h is not null and fp is not null and state is not null and _id is not null and _th is not null").repartition(parts, "h")
+    variants = runs.groupBy("h").agg(F.min("fp").alias("f"), F.min(F.struct(*KEY, "start", "n")).alias("lo"), F.count(F.lit(1)).alias("c"), F.max("state").alias("s"))
+    several = F.expr(f"c > 1 or s >= {LEAD}")
+    alike = (F.col("h") == F.col("h2")) & (F.col("fp") - F.col("f") == 0) & (F.col("state") - F.col("s") <= 0)
+    whole = runs.join(variants.where(several).where("lo is not null").select(F.col("h").alias("h2"), "f", "s").hint("merge"), alike).select(*KEY, "start", "n")
     # Runs whose anchor has another run: partly repeated, perhaps.
-    partly = variants.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("fp"))).where("c > 1")
-    flagged = F.col("lo.n") + F.when(F.col("lo") == F.col("hi"), SINGLE).otherwise(0) + F.when(F.col("c") > HOT_RUNS, HOT).otherwise(0)
-    wanted = partly.select("lo._id", "lo._th", "lo.start", flagged.alias("n"))
-    pieces = base.join(packed_runs(wanted).hint("merge"), KEY).mapInArrow(_pieces(length, parts * SHARDS_PER_PARTITION), "shard bigint, _id bigint, _th bigint, start int, single boolean, piece binary, w bigint")
-    found = pieces.where("shard >= 0").drop("w").groupBy("shard").applyInArrow(_shard(length), "_id bigint, _th bigint, start int, n int")
-    by_hash = pieces.where("shard < 0").select("w", *KEY, "start", "single")
-    twice = by_hash.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w")
-    hashed = by_hash.where("single").join(twice.hint("merge"), "w", "left_semi").select(*KEY, "start", F.lit(1).alias("n"))
+    crowd = variants.where(f"s < {FURTHER}").withColumn("runs", F.count(F.lit(1)).over(Window.partitionBy("f"))).where("runs > 1")
+    wanted = crowd.select("lo._id", "lo._th", "lo.start", (F.col("lo.n") + F.when(several, 0).otherwise(SINGLE)).alias("n"), "runs")
+    few, many = (packed_runs(wanted.where(c)).hint("merge") for c in (f"runs <= {HOT_RUNS}", f"runs > {HOT_RUNS}"))
+    pieces = base.join(few, KEY).mapInArrow(_pieces(length, 1 + size // SHARD_BYTES), "shard bigint, _id bigint, _th bigint, start int, single boolean, piece binary")
+    found = pieces.groupBy("shard").applyInArrow(_shard(length), "_id bigint, _th bigint, start int, n int")
+    windows = base.join(many, KEY).mapInArrow(_windows(length), "w bigint, _id bigint, _th bigint, start int, single boolean")
+    twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("w").alias("w2"))
+    hashed = windows.where("single").join(twice.hint("merge"), F.col("w") == F.col("w2"), "left_semi").select(*KEY, "start", F.lit(1).alias("n"))
     gone = whole.unionByName(found).unionByName(hashed)
-    return base.join(packed_runs(gone).hint("merge"), KEY, "left").mapInArrow(_removed(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return every.join(packed_runs(gone).hint("merge"), KEY, "left").mapInArrow(_removed(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
