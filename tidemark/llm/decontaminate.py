@@ -1,10 +1,10 @@
 """Benchmark decontamination in DataFrame operations alone.
 
-A window as long as a benchmark item can only be similar to it if they share shingles, so item-sized windows are laid where a
-document shares enough shingles with an item. Each window gets a SimHash; a multi-index over blocks of the fingerprint finds
-every item fingerprint within the radius (radius + 1 blocks: two fingerprints within the radius agree on one whole block);
-the exact weighted-shingle similarity then decides. Where shingles repeat, fingerprints say little (each follows its
-commonest shingles); such windows and items go to the exact similarity without them.
+A window as long as a benchmark item that reaches the threshold holds at least a known number of positions whose shingles the
+item has. All windows with that many are laid, and no other. Each gets a SimHash; a multi-index over blocks of the fingerprint finds
+the item fingerprints within the radius (radius + 1 blocks: two fingerprints within the radius agree on one whole block);
+the exact weighted-shingle similarity then decides. Where shingles repeat, or are so few that a fingerprint says little, windows
+go to the exact similarity without it.
 """
 
 from __future__ import annotations
@@ -17,11 +17,31 @@ from tidemark.llm._spark import KEY, keyed, small_or_shuffled, written
 SHINGLE = 5
 #: At similarity 0.8 two 64-bit fingerprints differ in 10 bits on average (standard deviation 3).
 RADIUS = 24
+#: Items of fewer shingles than this are compared without fingerprints.
+FEW = 24
 #: Key of an item: a null id counts as the smallest, and such items are told apart by a hash of their text.
 ITEM = ["_iid", "_ith"]
 
-_SIM = "aggregate(transform(sequence(0, 63), b -> IF(aggregate({a}, 0, (acc, x) -> acc + CAST(2 * (shiftright(x, b) & 1L) - 1 AS INT)) > 0, shiftleft(1L, b), 0L)), 0L, (acc, v) -> acc | v)"
-_SHARED = "aggregate(array_intersect({a}, {b}), 0, (acc, s) -> acc + least(size(filter({a}, y -> y = s)), size(filter({b}, y -> y = s))))"
+_SHARED = "IF(size(array_distinct({a})) = size({a}) OR size(array_distinct({b})) = size({b}), size(array_intersect({a}, {b})), aggregate(array_intersect({a}, {b}), 0, (acc, s) -> acc + least(size(filter({a}, y -> y = s)), size(filter({b}, y -> y = s)))))"
+
+
+def simhash(name: str, most: int) -> Column:
+    """SimHash of the array column of hashes, of at most ``most`` entries. The 64 counters are kept bit-sliced: plane k has bit k
+    of every counter, so a hash is added to all of them by a carry through the planes; a bit is set where its counter
+    exceeds half the entries."""
+    planes = max(1, int(most).bit_length())
+    carry, add = "x", []
+    for k in range(planes):
+        add.append(f"acc.p{k} ^ ({carry}) AS p{k}")
+        carry = f"acc.p{k} & ({carry})"
+    counters = f"aggregate({name}, named_struct({', '.join(f"'p{k}', 0L" for k in range(planes))}), (acc, x) -> named_struct({', '.join(f"'p{k}', " + a.rpartition(' AS ')[0] for k, a in enumerate(add))}), acc -> {{more}})"
+    # Compare every counter with half, from the highest plane: more so far, and equal so far.
+    more, equal = "0L", "-1L"
+    for k in range(planes - 1, -1, -1):
+        half = f"-((shiftright(CAST(size({name}) AS BIGINT), {k + 1})) & 1L)"
+        more = f"({more} | ({equal} & acc.p{k} & ~({half})))"
+        equal = f"({equal} & ~(acc.p{k} ^ ({half})))"
+    return F.expr(counters.replace("{more}", more))
 
 
 def word_hashes(text: Column) -> Column:
@@ -42,7 +62,7 @@ def _blocks(fp: str) -> Column:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, _th, item_id, start, n_words, similarity): each document and item with a window at or above the threshold, the
+    """(doc_id, _id, _th, item_id, start, n_words, similarity): each document and item with a window at or above the threshold, the
     best window, the earliest among equals.
 
     The similarity is the weighted Jaccard of five-word shingles with their counts as weights, words lower-cased. Items of fewer
@@ -51,29 +71,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
     """
     base = keyed(docs)
     items = benchmark.select(F.expr("coalesce(CAST(item_id AS bigint), -9223372036854775808L)").alias("_iid"), F.expr("IF(item_id IS NULL, xxhash64(text), 0L)").alias("_ith"), word_hashes(F.col("text")).alias("w"))
-    items = items.withColumn("ish", shingles("w")).where(F.size("ish") > 0).select(*ITEM, F.size("w").alias("len"), "ish")
-    items = written(items.withColumn("ifp", F.expr(_SIM.format(a="ish"))), "benchmark-items")
-    grams = written(items.select(*ITEM, "len", F.size("ish").alias("m"), F.posexplode("ish").alias("ipos", "s")), "benchmark-shingles")
+    items = items.withColumn("ish", shingles("w")).where(F.size("ish") > 0).select(*ITEM, F.size("w").alias("len"), "ish").dropDuplicates([*ITEM, "ish"])
+    items = written(items, "benchmark-items")
+    most = items.agg(F.max(F.size("ish"))).first()[0] or 1
+    items = items.withColumn("ifp", simhash("ish", most))
+    # A document's places are counted for each item once, however often the item repeats a shingle.
+    grams = written(items.select(*ITEM, "len", F.size("ish").alias("m"), F.explode(F.array_distinct("ish")).alias("s")), "benchmark-shingles")
     hashed = base.select(*KEY, word_hashes(F.col("text")).alias("w"))
     places = hashed.select(*KEY, F.size("w").alias("n"), F.posexplode(shingles("w")).alias("pos", "s"))
     hits = places.join(small_or_shuffled(grams), "s")
-    start = F.greatest(F.least(F.col("pos") - F.col("ipos"), F.col("n") - F.col("len")), F.lit(0))
-    # A window at the threshold shares at least that part of the item's shingles; starts are bounded by the document.
-    near = hits.groupBy(*KEY, *ITEM, "len", "m").agg(F.count(F.lit(1)).alias("hits"), F.collect_set(start).alias("starts")).where(F.col("hits") >= F.col("m") * threshold)
-    near = written(near.select(*KEY, *ITEM, "len", "starts"), "leak-candidates")
+    # A window of v shingles is at the threshold only if it shares need = t (v + m) / (1 + t) of them with the item's m.
+    need = F.expr(f"CAST(ceil({threshold!r}D * (least(m, n - {SHINGLE - 1}) + m) / (1 + {threshold!r}D) - 1e-9) AS INT)")
+    near = hits.groupBy(*KEY, *ITEM, "len", "m", "n").agg(F.collect_set("pos").alias("at")).withColumn("need", need).where("size(at) >= need").withColumn("at", F.array_sort("at"))
+    # All starts whose window has that many places: those with at[j] as their first place reach from the place before it, or as
+    # far left as place j + need - 1 allows, up to at[j].
+    low, high = "greatest(0, IF(j = 0, 0, at[j - 1] + 1), at[j + need - 1] - m + 1)", "least(at[j], greatest(n - len, 0))"
+    starts = F.expr(f"flatten(transform(sequence(0, size(at) - need), j -> IF({low} <= {high}, sequence({low}, {high}), CAST(array() AS array<int>))))")
+    # The last window also counts for places beyond its start.
+    near = near.select(*KEY, *ITEM, "len", starts.alias("starts")).where("size(starts) > 0")
+    near = written(near, "leak-candidates")
     wanted = written(near.groupBy(*KEY, "len").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "leak-windows")
-    texts = base.join(small_or_shuffled(wanted), KEY).select("doc_id", *KEY, "len", "starts", word_hashes(F.col("text")).alias("dw"))
-    windows = texts.select("doc_id", *KEY, "len", "dw", F.explode("starts").alias("start")).withColumn("win", F.slice("dw", F.col("start") + 1, F.col("len"))).drop("dw")
-    windows = windows.withColumn("wsh", shingles("win")).withColumn("wfp", F.expr(_SIM.format(a="wsh"))).drop("win")
-    windows = written(windows, "leak-window-shingles")
-    left = windows.withColumn("b", F.explode(_blocks("wfp"))).select("*", "b.block", "b.value").drop("b")
-    right = items.withColumn("b", F.explode(_blocks("ifp"))).select(*ITEM, "len", "ish", "ifp", "b.block", "b.value")
-    near_fp = left.join(right, ["len", "block", "value"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
-    repeats = F.expr("size(array_distinct(wsh)) < size(wsh) OR size(array_distinct(ish)) < size(ish)")
-    laid = near.select(*KEY, *ITEM, "len", F.explode("starts").alias("start")).join(windows, [*KEY, "len", "start"])
-    repeated = laid.join(items.drop("ifp"), [*ITEM, "len"]).where(repeats)
-    reached = ["doc_id", *KEY, *ITEM, "len", "start", "wsh", "ish"]
-    pairs = near_fp.select(*reached).unionByName(repeated.select(*reached)).groupBy("doc_id", *KEY, *ITEM, "len", "start").agg(F.first("wsh").alias("wsh"), F.first("ish").alias("ish"))
+    texts = base.join(small_or_shuffled(wanted), KEY).select("doc_id", *KEY, "len", "starts", word_hashes(F.col("text")).alias("dw")).withColumn("dsh", shingles("dw"))
+    windows = texts.select("doc_id", *KEY, "len", "dsh", F.explode("starts").alias("start")).withColumn("wsh", F.expr(f"slice(dsh, start + 1, len - {SHINGLE - 1})")).drop("dsh")
+    windows = written(windows.withColumn("wfp", simhash("wsh", most)), "leak-window-shingles")
+    # The multi-index, on fingerprints alone: each pair of a window's and an item's that is within the radius.
+    lookup = windows.select("len", "wfp").distinct().withColumn("b", F.explode(_blocks("wfp"))).select("len", "wfp", "b.block", "b.value")
+    right = items.select("len", "ifp").distinct().withColumn("b", F.explode(_blocks("ifp"))).select("len", "ifp", "b.block", "b.value")
+    within = lookup.join(right, ["len", "block", "value"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("len", "wfp", "ifp").distinct()
+    laid = near.select(*KEY, *ITEM, "len", F.explode("starts").alias("start")).join(windows, [*KEY, "len", "start"]).join(items, [*ITEM, "len"])
+    plain = F.expr(f"size(ish) < {FEW} OR size(array_distinct(wsh)) < size(wsh) OR size(array_distinct(ish)) < size(ish)")
+    laid = laid.withColumn("plain", plain)
+    pairs = laid.where("plain").unionByName(laid.where("NOT plain").join(within, ["len", "wfp", "ifp"], "left_semi"))
     shared = F.expr(_SHARED.format(a="wsh", b="ish"))
     scored = pairs.withColumn("c", shared).withColumn("similarity", F.col("c") / (F.size("wsh") + F.size("ish") - F.col("c"))).where(F.col("similarity") >= threshold)
     best = scored.groupBy("doc_id", *KEY, *ITEM).agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "len")).alias("t"))
