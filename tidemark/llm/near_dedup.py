@@ -156,8 +156,32 @@ def _shared_of_block(e: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarra
     return out
 
 
+def _nodes(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each distinct key, in the keys' order, and each row's place among them."""
+    order = np.lexsort((other, own))
+    new = np.append(True, (own[order][1:] != own[order][:-1]) | (other[order][1:] != other[order][:-1]))[: len(own)]
+    node = np.empty(len(own), dtype=np.int64)
+    node[order] = np.cumsum(new) - 1
+    return order[new], node
+
+
+def _first_reached(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of n nodes reaches over the links (x[i], y[i])."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
+        np.minimum.at(new, label, new.copy())
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _linked(threshold: float):
-    """One shard of blocks -> links between a left and a right row of one block and different classes."""
+    """One shard of blocks -> links between a left and a right row of one block and different classes, reduced to one link of
+    each document to the first that it reaches here: as many rows as documents, and the same classes."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("g", "i", "j", *KEY)])
@@ -181,7 +205,10 @@ def _linked(threshold: float):
             shared = _shared_of_pairs(e, off, x, y)
             ok = shared / np.maximum(n[x] + n[y] - shared, 1) >= threshold
             a.append(x[ok]), b.append(y[ok])
-        a, b = np.concatenate(a), np.concatenate(b)
+        row, node = _nodes(own, other)
+        to = _first_reached(node[np.concatenate(a)], node[np.concatenate(b)], len(row))
+        x = np.flatnonzero(to != np.arange(len(row)))
+        a, b = row[x], row[to[x]]
         return pa.table({"a_id": own[a], "a_th": other[a], "b_id": own[b], "b_th": other[b]})
 
     return run
