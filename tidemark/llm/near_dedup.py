@@ -22,7 +22,7 @@ from tidemark.llm._spark import KEY, keyed, small_or_shuffled, written
 SHINGLE = 5
 ROWS, BANDS = 5, 26
 WORD = "[^\\x20\\x09-\\x0D]"
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Pivots of a bucket in the first extra round, and pairs between classes a bucket row that are verified at once.
 PIVOTS, PAIRS_A_ROW = 8, 64
 #: Bytes of text in one side of a block and in a shard of blocks; a document counts as LEAST bytes at least, which bounds a
