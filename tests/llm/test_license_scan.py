@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from tidemark.llm.license_scan import BASE, NOTICES, TEMPLATES, license_scan
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -72,3 +74,9 @@ def test_table_labels(spark, sf_dir):
     labels = {r["doc_id"]: r["labels"] for r in license_scan(docs).collect()}
     assert labels == {d: brute_labels(x) for d, x in texts.items()}
     assert any("Released under the MIT License." in (x or "") for x in texts.values()) and all("mit" in labels[d] for d, x in texts.items() if "Released under the MIT License." in (x or ""))
+
+
+def test_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "cc by x"), (1, "cc by x"), (1, "cc by cc by"), (None, None), (None, None), (2, "mit license " * 3000)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("row", "copies", "gram", "words")})
+    got = sorted(((r["doc_id"] or 0, r["n_words"], r["n_base"], r["labels"]) for r in license_scan(docs).collect()))
+    assert got == [(0, 0, 0, ""), (0, 0, 0, ""), (1, 3, 1, "cc-by"), (1, 3, 1, "cc-by"), (1, 4, 2, "cc-by"), (2, 6000, 0, "mit")]

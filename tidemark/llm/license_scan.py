@@ -101,7 +101,7 @@ def license_scan(docs: DataFrame, base: dict[str, str] | None = None, templates:
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels (comma-joined, sorted, '' if none), score (1
     for a base phrase or a notice, else the best template cover) and spans (label, start, end, cover). Null text is empty; rows with equal
-    ids are told apart by text; rows equal in both give one row whose counts add up; an empty table gives no rows; other columns are ignored.
+    ids are told apart by text; rows equal in both give equal rows, one each; an empty table gives no rows; other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
     table = _template_table(BASE if base is None else base, TEMPLATES if templates is None else templates, NOTICES if notices is None else notices)
@@ -113,7 +113,7 @@ def license_scan(docs: DataFrame, base: dict[str, str] | None = None, templates:
     # Votes of each diagonal, combined before the exchange; the document's own row and base places ride along.
     diag = F.when(~F.col("base"), F.col("pos") - F.col("at"))
     by_diag = joined.groupBy("row", "tmpl", "label", "base", diag.alias("diag")).agg(
-        F.max(F.when(F.col("gram").isNull(), F.col("pos"))).alias("words"), F.count("gram").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"),
+        F.max(F.when(F.col("gram").isNull(), F.col("pos"))).alias("words"), F.count(F.when(F.col("gram").isNull(), 1)).alias("copies"), F.count("gram").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"),
         F.max("size").alias("size"), F.max("k").alias("k"), F.collect_set(F.when(~F.col("base"), F.col("at"))).alias("ats"),
     )
     # Template words under the grams of each diagonal.
@@ -122,20 +122,22 @@ def license_scan(docs: DataFrame, base: dict[str, str] | None = None, templates:
     step = F.coalesce(F.col("diag") - F.lag("diag").over(w) > drift, F.lit(True)).cast("int")
     chained = by_diag.withColumn("step", step).withColumn("chain", F.sum("step").over(w))
     spans = chained.groupBy("row", "tmpl", "label", "base", "chain").agg(
-        F.max("words").alias("words"), F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("size").alias("size"), F.max("k").alias("k"),
+        F.max("words").alias("words"), F.sum("copies").alias("copies"), F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("size").alias("size"), F.max("k").alias("k"),
         F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"),
     )
     part = F.least(F.col("covered") / F.col("size"), F.lit(1.0))
     found = ~F.col("base") & (part >= cover)
     is_base = F.coalesce(F.col("base"), F.lit(False))
     out = spans.groupBy("row").agg(
-        F.max("words").alias("n_words"), F.coalesce(F.sum(F.when(is_base, F.col("votes"))), F.lit(0)).alias("n_base"),
+        F.max("words").alias("n_words"), F.sum("copies").alias("copies"), F.coalesce(F.sum(F.when(is_base, F.col("votes"))), F.lit(0)).alias("n_base"),
         F.min(F.when(is_base, F.col("lo"))).alias("first_word"), F.max(F.when(is_base, F.col("hi"))).alias("last_word"),
         F.collect_set(F.when(is_base, F.col("label"))).alias("b"), F.collect_set(F.when(is_base | found, F.col("label"))).alias("l"),
         F.max(F.when(is_base, F.lit(1.0)).when(~is_base & F.col("label").isNotNull(), part)).alias("score"),
         F.collect_list(F.when(found, F.struct("label", F.col("lo").alias("start"), (F.col("hi") + F.col("k")).alias("end"), part.alias("cover")))).alias("spans"),
     )
     joined_text = lambda c: F.array_join(F.sort_array(c), ",")
+    # Rows equal in id and text were counted together: each gets its share, in a row of its own.
+    out = out.withColumn("n_base", F.expr("n_base div copies")).withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
     return out.select(
         "row.doc_id", "n_words", "n_base", "first_word", "last_word", joined_text("b").alias("base_labels"), joined_text("l").alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"), "spans",
