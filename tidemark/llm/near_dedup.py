@@ -317,5 +317,5 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def first_of_class(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The documents, with all columns, that are the first of their class; of rows equal in id and text one stays."""
     kept = written(near_classes(docs, threshold).where("kept").select(*KEY), "kept-documents")
-    rows = keyed(docs, whole=True).join(small_or_shuffled(kept), KEY, "left_semi")
+    rows = keyed(docs, whole=True).join(kept, KEY, "left_semi")
     return (rows if rows.schema["_th"].metadata["unique"] else rows.dropDuplicates(KEY)).select("row.*")

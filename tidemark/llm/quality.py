@@ -95,22 +95,29 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int = 12,
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
     """Fit on a bounded sample of labelled rows: the ``rows`` smallest id hashes among labelled documents outside the held-out
-    part. Only the sample's feature counts reach the driver."""
+    part. Feature counts stay on the executors."""
     known = labels.where(~held_out(mod, rest) & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("_d"), F.col(label).cast("int").alias("y"))
     known = known.groupBy("_d").agg(F.max("y").alias("y"))
     sample = F.broadcast(known.orderBy(F.xxhash64("_d"), "_d").limit(rows))  # bounded by ``rows``
     text = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_d")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "y", "text")
-    got = text.mapInArrow(_bags, "doc_id bigint, y int, ids array<int>, counts array<int>").toArrow()
-    order = np.argsort(np.asarray(got.column("doc_id")), kind="stable")
-    # Views into the Arrow buffers: no list of Python numbers is made on the driver.
+    bags = text.mapInArrow(_bags, "doc_id bigint, y int, ids array<int>, counts array<int>")
+    # One task learns from the bounded sample; the driver gets one number a bucket.
+    got = bags.groupBy(F.lit(0).alias("all")).applyInArrow(_fit_table, "weight binary, bias double").first()
+    return fit([], np.zeros(0, dtype=np.int64)) if got is None else Model(np.frombuffer(bytes(got["weight"])), got["bias"])
+
+
+def _fit_table(table: pa.Table) -> pa.Table:
+    """The model of a sample's bags; rows are put in order first, so that reruns agree."""
     bags = [
         (ids[a:z], counts[a:z])
-        for batch in got.select(["ids", "counts"]).to_batches()
+        for batch in table.select(["ids", "counts"]).to_batches()
         for ids, counts, cut in [(*(np.asarray(batch.column(k).flatten()) for k in ("ids", "counts")), np.concatenate(([0], np.cumsum(np.asarray(batch.column("ids").value_lengths())))))]
         for a, z in zip(cut, cut[1:])
     ]
-    y = np.asarray(got.column("y"))
-    return fit([bags[i] for i in order], y[order])
+    y, own = np.asarray(table.column("y")), np.asarray(table.column("doc_id"))
+    order = np.lexsort(([int((i.astype(np.int64) * 31 + c).sum()) for i, c in bags], [len(i) for i, _ in bags], own))
+    model = fit([bags[i] for i in order], y[order])
+    return pa.table({"weight": pa.array([model.weight.tobytes()], pa.binary()), "bias": pa.array([model.bias])})
 
 
 def score(docs: DataFrame, model: Model, whole: bool = False, threshold: float = 0.7) -> DataFrame:
