@@ -1,3 +1,4 @@
+import json
 from datetime import datetime, timezone
 from decimal import Decimal
 
@@ -8,11 +9,12 @@ from tidemark.functions.scalars import PASCAL_STATUS, SNAKE_STATUS, list_status,
 from tidemark.intervals import Interval, default_run_id, parse_interval
 from tidemark.metrics import metrics_from
 from tidemark.operators.dedupe import dedupe_latest
-from tidemark.operators.merge import merge_into_silver
+from tidemark.operators.merge import merge_into_silver, merge_rows
 from tidemark.operators.normalize import convert_to_usd, normalize_lazada, rejects
+from tidemark.operators.quality import unknown_raw_status
 from tidemark.session import shared_folder
 from tidemark.sources.bronze import append_bronze, multiset_fingerprint, read_bronze
-from tidemark.sources.feeds import FEEDS_BY_NAME, pick_feeds, read_jdbc_query, read_jdbc_slice
+from tidemark.sources.feeds import FEEDS_BY_NAME, pick_feeds, read_jdbc_query, read_jdbc_slice, seed_jdbc
 
 IV = Interval(datetime(2026, 8, 2, tzinfo=timezone.utc), datetime(2026, 8, 3, tzinfo=timezone.utc))
 LAZADA = "order_id long, created_at string, updated_at string, price string, shipping_fee string, currency string, statuses string"
@@ -36,32 +38,49 @@ def test_feeds_fail_fast():
 
 
 def test_status_maps(spark):
-    got = lambda f, *v: [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, s string").orderBy("i").select(f(F.col("s"))).collect()]
-    assert got(lambda c: mapped_status(c, PASCAL_STATUS), "Pending", "Unshipped", "Shipped", "Canceled", "Refunded", "?", None) == ["placed", "paid", "paid", "cancelled", "refunded", "placed", "placed"]
-    assert got(lambda c: mapped_status(c, SNAKE_STATUS), "partially_refunded", "voided") == ["refunded", "cancelled"]
-    assert got(list_status, "unpaid", "shipped", "delivered", "delivered,returned", "canceled", None) == ["placed", "paid", "paid", "refunded", "cancelled", "placed"]
+    raw = [*SNAKE_STATUS, *PASCAL_STATUS, "on_hold", "", None]
+    df = spark.createDataFrame(list(enumerate(raw)), "i int, s string")
+    got = {r["i"]: tuple(r)[1:] for r in df.select("i", mapped_status(F.col("s"), SNAKE_STATUS), mapped_status(F.col("s"), PASCAL_STATUS)).collect()}
+    assert got == {i: (SNAKE_STATUS.get(x, "placed"), PASCAL_STATUS.get(x, "placed")) for i, x in enumerate(raw)}
+    lists = {"packed": "placed", "packed,shipped": "paid", "shipped,canceled": "cancelled", "canceled,returned": "refunded", "": "placed", None: "placed"}
+    df = spark.createDataFrame([(x,) for x in lists], "s string")
+    assert {r[0]: r[1] for r in df.select("s", list_status(F.col("s"))).collect()} == lists
+
+
+def test_unknown_raw_status(spark):
+    for feed, known in (("shopify_orders", "voided"), ("amazon_orders", "Shipped"), ("lazada_orders", "packed,shipped")):
+        f = FEEDS_BY_NAME[feed]
+        df = spark.createDataFrame([(known,), ("on_hold",), ("on_hold",), (None,)], f"{f.status_column} string")
+        assert {(r["raw_status"], r["versions"]) for r in unknown_raw_status(df, f).collect()} == {("on_hold", 2), (None, 1)}
+        assert unknown_raw_status(df.limit(0), f).count() == 0
 
 
 def test_text_clock_and_rejects(spark):
-    rows = [(1, "2026-08-02 16:25:39 +0800", "2026-08-03 01:10:00 +0800", "128.40", "1", "SGD", "shipped"), (2, "bad", "2026-08-03 01:10:00 +0800", "x", "1", "SGD", "shipped")]
+    rows = [(31, "1999-12-31 23:30:00 -0130", "2000-02-29 00:00:07 +0545", "7.05", "0", "SGD", "shipped"), (32, "1999-13-01 00:00:00 +0000", "2000-02-29 00:00:07 +0545", "7,05", "0", "SGD", "shipped")]
     df = spark.createDataFrame(rows, LAZADA)
-    r = normalize_lazada(df.where("order_id = 1")).first()
-    assert r["event_time_utc"] == datetime(2026, 8, 2, 8, 25, 39) and r["updated_at_utc"] == datetime(2026, 8, 2, 17, 10) and r["gross_amount"] == Decimal("128.40")
+    r = normalize_lazada(df.where("order_id = 31")).first()
+    assert r["event_time_utc"] == datetime(2000, 1, 1, 1) and r["order_date"].year == 2000
+    assert r["updated_at_utc"] == datetime(2000, 2, 28, 18, 15, 7) and r["gross_amount"] == Decimal("7.05")
     with pytest.raises(Exception):
         normalize_lazada(df).collect()
-    assert normalize_lazada(df, strict=False).count() == 2 and [r["order_id"] for r in rejects(df).collect()] == [2]
+    assert normalize_lazada(df, strict=False).count() == 2 and [r["order_id"] for r in rejects(df).collect()] == [32]
 
 
-def test_fx_own_date_missing_rate_and_refund_zero(spark):
-    o = spark.createDataFrame([("a", "SGD", "2026-08-02", 100, "paid"), ("b", "USD", "2026-08-02", 100, "refunded"), ("c", "SGD", "2026-08-09", 100, "paid")], "k string, currency string, d string, g int, order_status string")
+def test_fx_by_business_day(spark):
+    rows = [(i, cur, f"1999-05-{day:02}", 37 + i, st) for i, (cur, day, st) in enumerate([("SGD", 4, "paid"), ("SGD", 5, "paid"), ("SGD", 6, "placed"), ("USD", 4, "cancelled"), (None, 4, "paid")])]
+    o = spark.createDataFrame(rows, "k int, currency string, d string, g int, order_status string")
     o = o.select("k", "currency", F.to_date("d").alias("order_date"), F.col("g").cast("decimal(12,2)").alias("gross_amount"), "order_status")
-    fx = spark.createDataFrame([("SGD/USD", "2026-08-02", "0.74"), ("SGD/USD", "2026-08-03", "0.99")], "currency_pair string, d string, r string").select("currency_pair", F.to_date("d").alias("rate_date"), F.col("r").cast("decimal(18,8)").alias("rate"))
-    got = {r["k"]: (str(r["gross_amount_usd"]), str(r["net_amount_usd"]), r["fx_missing"]) for r in convert_to_usd(o, fx).collect()}
-    assert got == {"a": ("74.00", "74.00", False), "b": ("100.00", "0.00", False), "c": ("100.00", "100.00", True)}
+    fx = spark.createDataFrame([("SGD/USD", "1999-05-04", "0.5"), ("SGD/USD", "1999-05-05", "0.125")], "currency_pair string, d string, r string").select("currency_pair", F.to_date("d").alias("rate_date"), F.col("r").cast("decimal(18,8)").alias("rate"))
+    want = {0: ("18.50", "18.50", False), 1: ("4.75", "4.75", False), 2: ("39.00", "39.00", True), 3: ("40.00", "0.00", False), 4: ("41.00", "41.00", True)}
+    for bound in (10, 1):  # broadcast, and beyond the checked size
+        out = convert_to_usd(o, fx, broadcast_rows=bound)
+        assert {r["k"]: (str(r["gross_amount_usd"]), str(r["net_amount_usd"]), r["fx_missing"]) for r in out.collect()} == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("broadcast" in plan) == (bound == 10) and ("merge" in plan) == (bound == 1)
 
 
 def silver_rows(spark, rows):
-    return spark.createDataFrame(rows, "order_key string, updated_at_utc timestamp, version_seq int, version_tag string, net int, order_year int")
+    return spark.createDataFrame(rows, "order_key string, updated_at_utc timestamp, version_seq int, version_tag string, net int, order_month int")
 
 
 def at(h):
@@ -69,8 +88,21 @@ def at(h):
 
 
 def test_dedupe_latest_and_ties(spark):
-    df = silver_rows(spark, [("a", at(9), 0, "", 1, 1), ("a", at(14), 0, "", 2, 1), ("a", at(14), 1, "", 3, 1), ("a", at(11), 9, "", 4, 1), ("b", at(1), 0, "", 5, 1)])
-    assert {r["order_key"]: r["net"] for r in dedupe_latest(df).collect()} == {"a": 3, "b": 5}
+    rows = [(f"k{i % 7}", at(i * 5 % 6), i % 4, "xy"[i % 2], i, 1) for i in range(60)] + [("k0", None, 9, "z", 99, 1)]
+    want = {}
+    for r in rows:
+        if r[1] is not None and (r[0] not in want or r[1:4] > want[r[0]][1:4]):
+            want[r[0]] = r
+    got = {r["order_key"]: (r["updated_at_utc"], r["version_seq"], r["version_tag"]) for r in dedupe_latest(silver_rows(spark, rows)).collect()}
+    assert got == {k: r[1:4] for k, r in want.items()}
+
+
+def test_merge_null_versions(spark):
+    """A comparison with a null keeps the target, whichever side and column it is in."""
+    target = silver_rows(spark, [("a", None, 0, "", 1, 1), ("b", at(1), 0, "", 1, 1), ("c", at(1), None, "", 1, 1), ("d", at(1), None, "", 1, 1), ("e", None, 0, "", 1, 1)])
+    batch = silver_rows(spark, [("a", at(2), 0, "", 2, 1), ("b", None, 0, "", 2, 1), ("c", at(1), 5, "", 2, 1), ("d", at(2), 0, "", 2, 1), ("e", None, 0, "", 2, 1)])
+    assert {r["order_key"]: r["net"] for r in merge_rows(target, batch).collect()} == {"a": 1, "b": 1, "c": 1, "d": 2, "e": 1}
+    assert {r["net"] for r in merge_rows(target, batch, guarded=False).collect()} == {2}
 
 
 def test_merge_guard_naive_ties_and_empty_batch(spark):
@@ -124,3 +156,41 @@ def test_merge_stream(spark, sf_dir):
     stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
     merge_stream(stream, path, shared_folder(spark, "ck")).awaitTermination()
     assert spark.read.parquet(path).count() == spark.read.parquet(src).select("order_key").distinct().count()
+
+
+def test_declared_schemas(spark, sf_dir):
+    from tidemark.sources.derive import feed_log
+
+    for f in FEEDS_BY_NAME.values():
+        assert [(c.name, c.dataType) for c in feed_log(spark, sf_dir, f).schema] == [(c.name, c.dataType) for c in f.schema]
+
+
+def test_seed_repeats(spark):
+    url, driver, feed = "jdbc:derby:memory:s;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver", FEEDS_BY_NAME["amazon_orders"]
+    df = spark.createDataFrame([(1, at(1)), (2, at(2))], 'id long, "LastUpdateDate" timestamp'.replace('"', ""))
+    for _ in range(2):
+        seed_jdbc(df, feed, url, driver)
+    assert read_jdbc_slice(spark, feed, Interval.year(2026), url, driver).count() == 2
+
+
+def test_snapshot_on_disk(spark):
+    from tidemark.operators.snapshot import load_snapshot, save_snapshot
+
+    path = shared_folder(spark, "snapshot")
+    state = {"row_count": 3, "key_count": 2, "net_usd": Decimal("4.50"), "duplicate_keys": 1, "hash": "ab"}
+    save_snapshot(spark, state, path)
+    assert load_snapshot(spark, path) == state
+
+
+def test_command_line(spark, sf_dir, tmp_path):
+    from tidemark import cli
+
+    args = ["--data", sf_dir, "--lake", str(tmp_path / "lake"), "--interval-start", "1996-03-01", "--interval-end", "1996-03-04", "--summary", str(tmp_path / "s.json")]
+    for step in ("bronze", "normalize", "silver", "silver"):
+        assert cli.main([step, *args]) == 0
+        assert json.loads((tmp_path / "s.json").read_text())["ok"]
+    assert cli.main(["silver", *args, "--data", str(tmp_path / "nothing")]) == 1
+    failed = json.loads((tmp_path / "s.json").read_text())["steps"][0]
+    assert not failed["ok"] and "PATH_NOT_FOUND" in failed["reason"]
+    assert cli.main(["normalize", *args, "--step-seconds", "0.01"]) == 1
+    assert json.loads((tmp_path / "s.json").read_text())["steps"][0]["reason"] == "time limit"

@@ -25,6 +25,9 @@ PASCAL_STATUS = {
     "Canceled": "cancelled",
     "Refunded": "refunded",
 }
+# The text feed's states that name no later one.
+LIST_OPEN = ("unpaid", "pending")
+LIST_PARTS = ("returned", "canceled", "cancelled", "delivered", "shipped")
 CANONICAL_STATUS = ("placed", "paid", "refunded", "cancelled")
 NO_REVENUE = ("refunded", "cancelled")
 
@@ -46,7 +49,7 @@ def mapped_status(c: Column, mapping: dict[str, str], default: str = "placed") -
 
 
 def list_status(c: Column) -> Column:
-    """Comma list with a fixed precedence, matched by substring: returned, cancelled, paid, else placed."""
+    """Comma list with a fixed precedence (a fixed value, like the maps), matched by substring: returned, cancelled, paid, else placed."""
     return (
         F.when(c.contains("returned"), "refunded")
         .when(c.contains("canceled") | c.contains("cancelled"), "cancelled")
@@ -55,6 +58,17 @@ def list_status(c: Column) -> Column:
     )
 
 
+def listed_status(c: Column, market: str) -> Column:
+    """Whether a market's vocabulary lists a raw value; false for null, so that defaults never hide an unknown value."""
+    if market == "lazada":
+        known = c.isin(*LIST_OPEN)
+        for part in LIST_PARTS:
+            known = known | c.contains(part)
+    else:
+        known = c.isin(*(SNAKE_STATUS if market == "shopify" else PASCAL_STATUS))
+    return F.coalesce(known, F.lit(False))
+
+
 def revenue(status: Column, amount: Column) -> Column:
     return F.when(status.isin(*NO_REVENUE), F.lit(0)).otherwise(amount).cast(AMOUNT)
 

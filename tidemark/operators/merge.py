@@ -12,10 +12,12 @@ VERSION = ("updated_at_utc", "version_seq", "version_tag")
 
 def merge_rows(target: DataFrame, batch: DataFrame, *, guarded: bool = True, key: str = "order_key", version: tuple[str, ...] = VERSION) -> DataFrame:
     """Merged rows plus ``_action``: insert, update or keep. ``batch`` has one row per key. Guarded keeps the target
-    unless the source's version is strictly newer (a null version never updates); naive takes every match."""
+    unless the source's version is strictly newer: a comparison with a null, on either side, never updates. Naive takes every match."""
     both = target.withColumn("_src", F.lit(0)).unionByName(batch.withColumn("_src", F.lit(1)))
     names = [c for c in version if c in batch.columns]
-    newest = [F.col(c).desc_nulls_last() for c in names]
+    # A target's null comes first, a source's null last: neither lets the source win.
+    held = lambda c: (F.col(c).isNull() & (F.col("_src") == 0)).desc()
+    newest = [k for c in names for k in (held(c), F.col(c).desc_nulls_last())]
     w = Window.partitionBy(key)
     order = [*newest, F.col("_src").asc()] if guarded else [F.col("_src").desc()]
     picked = both.withColumns({"_rn": F.row_number().over(w.orderBy(*order)), "_n": F.count(F.lit(1)).over(w)}).where("_rn = 1")
@@ -24,7 +26,7 @@ def merge_rows(target: DataFrame, batch: DataFrame, *, guarded: bool = True, key
 
 
 def merge_into_silver(
-    spark: SparkSession, batch: DataFrame, path: str, *, guarded: bool = True, key: str = "order_key", partition: str = "order_year", version: tuple[str, ...] = VERSION
+    spark: SparkSession, batch: DataFrame, path: str, *, guarded: bool = True, key: str = "order_key", partition: str = "order_month", version: tuple[str, ...] = VERSION
 ) -> dict:
     """Merge into partitioned parquet. Only partitions named in the batch are read and rewritten, which is right because
     the partition value of a key never changes. An empty batch is a no-op. Writers must not run at the same time."""

@@ -9,6 +9,7 @@ from tidemark.functions.scalars import AMOUNT, PASCAL_STATUS, RATE, SNAKE_STATUS
 
 META = ["_ingest_run_id", "_interval_start", "_interval_end"]
 VERSION = ["version_seq", "version_tag"]
+# The canonical column names.
 BASE_COLUMNS = [
     "order_key", "marketplace", "marketplace_order_id", "event_time_utc", "order_date", "updated_at_utc", "order_status", "currency", "gross_amount",
     "shipping_amount",
@@ -64,11 +65,12 @@ def union_canonical(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def convert_to_usd(orders: DataFrame, fx: DataFrame, broadcast: bool = True) -> DataFrame:
+def convert_to_usd(orders: DataFrame, fx: DataFrame, broadcast_rows: int = FX_BROADCAST_ROWS) -> DataFrame:
     """Left join on pair and the order's own business date; no rate converts at 1 and is flagged in ``fx_missing``.
-    ``broadcast`` is for a dimension bounded by the calendar; pass False for an unbounded one and Catalyst shuffles."""
+    The rates are counted (pass a written dimension, whose Parquet footers hold the count): they are broadcast up to
+    ``broadcast_rows`` rows, beyond it the join shuffles."""
     rates = fx.select(F.col("currency_pair").alias("_pair"), F.col("rate_date").alias("_day"), F.col("rate").cast(RATE).alias("_rate"))
-    rates = F.broadcast(rates) if broadcast else rates
+    rates = F.broadcast(rates) if fx.count() <= broadcast_rows else rates.hint("merge")
     joined = orders.join(rates, (F.concat("currency", F.lit("/USD")) == F.col("_pair")) & (F.col("order_date") == F.col("_day")), "left")
     usd = (F.col("gross_amount") * F.coalesce("_rate", F.lit(1).cast(RATE))).cast(AMOUNT)
     return (

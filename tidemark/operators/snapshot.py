@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.bronze import multiset_fingerprint
 
 BUSINESS = ["order_key", "order_date", "order_status", "currency", "gross_amount", "gross_amount_usd", "net_amount_usd"]
 MONEY = "decimal(38,2)"
+SNAPSHOT = {"row_count": "bigint", "key_count": "bigint", "net_usd": MONEY, "duplicate_keys": "bigint", "hash": "string"}
 
 
 def revenue_by_market_day(silver: DataFrame) -> DataFrame:
@@ -43,10 +44,13 @@ def snapshot(silver: DataFrame) -> dict:
     return t | {"hash": multiset_fingerprint(silver.select(*BUSINESS)).first()["fingerprint"]}
 
 
-def diff_revenue(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Cells of revenue by marketplace and day that differ, cells on one side only included."""
-    b, a = (revenue_by_market_day(x).select("marketplace", "order_date", F.col("net_usd").alias(n)) for x, n in ((before, "before_usd"), (after, "after_usd")))
-    return b.join(a, ["marketplace", "order_date"], "full").where(~F.col("before_usd").eqNullSafe(F.col("after_usd")))
+def save_snapshot(spark: SparkSession, state: dict, path: str) -> None:
+    """Keep a snapshot as one row of typed columns, so that a later process can compare with it."""
+    spark.createDataFrame([tuple(state[n] for n in SNAPSHOT)], ", ".join(f"{n} {t}" for n, t in SNAPSHOT.items())).write.mode("overwrite").parquet(path)
+
+
+def load_snapshot(spark: SparkSession, path: str) -> dict:
+    return spark.read.parquet(path).first().asDict()
 
 
 def reverted(guarded: DataFrame, naive: DataFrame) -> DataFrame:

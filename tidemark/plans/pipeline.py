@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.intervals import Interval, default_run_id
@@ -10,44 +10,58 @@ from tidemark.operators import snapshot as snap
 from tidemark.operators.dedupe import dedupe_latest
 from tidemark.operators.merge import merge_into_silver
 from tidemark.operators.normalize import NORMALIZERS, convert_to_usd, union_canonical
-from tidemark.session import shared_folder, use_utc
+from tidemark.session import remove, shared_folder, use_utc
 from tidemark.sources.bronze import add_metadata
-from tidemark.sources.derive import feed_log, fx_rates
+from tidemark.sources.derive import feed_log, fx_rates, version_log, version_years
 from tidemark.sources.feeds import FEEDS
 
-YEARS = tuple(range(1995, 2002))
 REPLAY = 1996
+_FX: dict[tuple, DataFrame] = {}
 
 
-def canonical(spark: SparkSession, sf_dir: str, iv: Interval | None = None, run_id: str | None = None, fx: DataFrame | None = None) -> DataFrame:
+def fx_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rates, written once for each session and input, so that counting them reads Parquet footers only."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FX:
+        path = shared_folder(spark, "fx")
+        fx_rates(spark, sf_dir).coalesce(1).write.parquet(path)
+        _FX[key] = spark.read.parquet(path)
+    return _FX[key]
+
+
+def canonical(spark: SparkSession, sf_dir: str, iv: Interval | None = None, run_id: str | None = None, fx: DataFrame | None = None, log: DataFrame | None = None) -> DataFrame:
     """Canonical batch of one interval, or of the whole log without metadata. Catalyst pushes the interval through the
-    union into every branch."""
+    union into every branch. ``log`` is a written version log."""
     parts = []
     for feed in FEEDS:
-        log = feed_log(spark, sf_dir, feed)
+        raw = feed_log(spark, sf_dir, feed, log)
         if iv is not None:
-            log = add_metadata(feed.slice(log, iv), run_id or default_run_id(iv.start), iv, wall_clock=False)
-        parts.append(NORMALIZERS[feed.marketplace](log))
-    return convert_to_usd(union_canonical(parts), fx if fx is not None else fx_rates(spark, sf_dir))
+            raw = add_metadata(feed.slice(raw, iv), run_id or default_run_id(iv.start), iv, wall_clock=False)
+        parts.append(NORMALIZERS[feed.marketplace](raw))
+    return convert_to_usd(union_canonical(parts), fx if fx is not None else fx_dimension(spark, sf_dir))
 
 
 def silver_batch(batch: DataFrame) -> DataFrame:
-    return dedupe_latest(batch).withColumn("order_year", F.year("order_date"))
+    """Latest versions, filed by month of the business date: a day's slice rewrites the few months that it names."""
+    return dedupe_latest(batch).withColumn("order_month", F.trunc("order_date", "month"))
 
 
-def process_interval(spark: SparkSession, sf_dir: str, iv: Interval, paths: dict[str, bool], run_id: str | None = None) -> list[dict]:
+def merge_batch(spark: SparkSession, versions: DataFrame, paths: dict[str, bool]) -> list[dict]:
     """Merge the same deduplicated batch into each table of ``paths`` (path -> guarded). The batch is written once, so
-    that all tables get identical rows and nothing is computed twice."""
-    folder = shared_folder(spark, "batch")
-    silver_batch(canonical(spark, sf_dir, iv, run_id)).write.parquet(folder)
+    that all tables get identical rows and nothing is computed twice. Counts before and after deduplication are reported."""
+    folder, seen = shared_folder(spark, "batch"), Observation()
+    silver_batch(versions.observe(seen, F.count(F.lit(1)).alias("n"))).write.parquet(folder)
     batch = spark.read.parquet(folder)
-    done = [merge_into_silver(spark, batch, p, guarded=g) for p, g in paths.items()]
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(folder)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    counts = {"rows_in_batch": seen.get["n"], "rows_deduplicated": batch.count()}
+    done = [counts | merge_into_silver(spark, batch, p, guarded=g) for p, g in paths.items()]
+    remove(spark, folder)
     return done
 
 
+def process_interval(spark: SparkSession, sf_dir: str, iv: Interval, paths: dict[str, bool], run_id: str | None = None, log: DataFrame | None = None) -> list[dict]:
+    return merge_batch(spark, canonical(spark, sf_dir, iv, run_id, log=log), paths)
+
+
 _BUILT: dict[tuple, dict] = {}
 
 
@@ -59,14 +73,18 @@ def silver_tables(spark: SparkSession, sf_dir: str) -> dict:
     if key not in _BUILT:
         root = shared_folder(spark, "silver")
         paths = {f"{root}/guarded": True, f"{root}/naive": False}
-        for y in YEARS:
-            process_interval(spark, sf_dir, Interval.year(y), paths)
+        # The feeds' common log is derived once; every interval scans it with its clock pushed down.
+        version_log(spark, sf_dir).write.parquet(f"{root}/log")
+        log = spark.read.parquet(f"{root}/log")
+        for y in version_years(spark, sf_dir):
+            process_interval(spark, sf_dir, Interval.year(y), paths, log=log)
         read = lambda name: spark.read.parquet(f"{root}/{name}")
         invariants_before = snap.invariants(read("guarded")).first().asDict()
         for name in ("guarded", "naive"):
             snap.revenue_by_market_day(read(name)).write.parquet(f"{root}/revenue_before_{name}")
-        before = {name: snap.snapshot(read(name)) for name in ("guarded", "naive")}
-        replay = process_interval(spark, sf_dir, Interval.year(REPLAY), paths, run_id="replay")
+            snap.save_snapshot(spark, snap.snapshot(read(name)), f"{root}/snapshot_before_{name}")
+        before = {name: snap.load_snapshot(spark, f"{root}/snapshot_before_{name}") for name in ("guarded", "naive")}
+        replay = process_interval(spark, sf_dir, Interval.year(REPLAY), paths, run_id="replay", log=log)
         after = {name: snap.snapshot(read(name)) for name in ("guarded", "naive")}
         _BUILT[key] = {"root": root, "before": before, "after": after, "invariants_before": invariants_before, "replay": dict(zip(("guarded", "naive"), replay))}
     return _BUILT[key]

@@ -14,10 +14,10 @@ from tidemark.intervals import Interval
 from tidemark.operators import quality, snapshot as snap
 from tidemark.operators.dedupe import dedupe_latest
 from tidemark.operators.normalize import BASE_COLUMNS, VERSION
-from tidemark.plans.pipeline import YEARS, canonical, gate, revenue_change, silver, silver_batch, silver_tables
+from tidemark.plans.pipeline import canonical, fx_dimension, gate, revenue_change, silver, silver_tables
 from tidemark.session import shared_folder, use_utc
 from tidemark.sources.bronze import add_metadata, append_bronze, multiset_fingerprint, read_bronze
-from tidemark.sources.derive import feed_log, fx_rates
+from tidemark.sources.derive import feed_log
 from tidemark.sources.feeds import FEEDS, FEEDS_BY_NAME
 
 IV = Interval.year(1996)
@@ -45,7 +45,7 @@ WITH ver AS (
   FROM c
 ), ranked AS (
   SELECT *, year(upd) AS iv, row_number() OVER (PARTITION BY order_key, year(upd) ORDER BY upd DESC, seq DESC, tag DESC) AS r FROM u
-), d AS (SELECT * FROM ranked WHERE r = 1 AND iv BETWEEN 1995 AND 2001),
+), d AS (SELECT * FROM ranked WHERE r = 1),
 guarded AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY order_key ORDER BY upd DESC, seq DESC, tag DESC) AS q FROM d) WHERE q = 1),
 naive AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY order_key ORDER BY (iv = 1996) DESC, iv DESC) AS q FROM d) WHERE q = 1)
 """
@@ -119,9 +119,9 @@ def bronze_interval_scan(spark, d):
     for f in FEEDS:
         log = feed_log(spark, d, f)
         for run in ("run-1", "run-2"):
-            append_bronze(spark, f.slice(log, IV), f, run, IV, root, declared=log.schema)
+            append_bronze(spark, f.slice(log, IV), f, run, IV, root, declared=f.schema)
         key = {"shopify": "id", "amazon": "AmazonOrderId", "lazada": "order_id"}[f.marketplace]
-        parts.append(read_bronze(spark, f, IV, root, log.schema).select(F.lit(f.marketplace).alias("marketplace"), "_ingest_run_id", F.col(key).cast("string").alias("key")))
+        parts.append(read_bronze(spark, f, IV, root, f.schema).select(F.lit(f.marketplace).alias("marketplace"), "_ingest_run_id", F.col(key).cast("string").alias("key")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("marketplace", "_ingest_run_id").agg(F.count(F.lit(1)).alias("versions"), F.count_distinct("key").alias("orders"))
 
 
@@ -136,15 +136,24 @@ def dedupe(spark, d):
     ELSE CASE WHEN tag = '' THEN 'unpaid' WHEN tag[1] = 'R' THEN 'delivered,returned' WHEN tag[1] = 'A' THEN 'canceled' WHEN tag = 'NF' THEN 'delivered' ELSE 'shipped' END END AS raw_status,
   order_status, count(*) AS versions FROM u GROUP BY 1, 2, 3""")
 def status_vocabulary(spark, d):
-    col = {"shopify": "financial_status", "amazon": "OrderStatus", "lazada": "statuses"}
     parts = []
     for f in FEEDS:
-        raw = F.col(col[f.marketplace])
+        raw = F.col(f.status_column)
         mapped = {"shopify": mapped_status(raw, SNAKE_STATUS), "amazon": mapped_status(raw, PASCAL_STATUS), "lazada": list_status(raw)}[f.marketplace]
         parts.append(feed_log(spark, d, f).select(F.lit(f.marketplace).alias("marketplace"), raw.alias("raw_status"), mapped.alias("order_status")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("marketplace", "raw_status", "order_status").agg(F.count(F.lit(1)).alias("versions"))
 
 
+@query("unknown_raw_status", f"""{WITH} SELECT marketplace, CASE seq WHEN 7 THEN 'on_hold' END AS raw_status, count(*) AS versions FROM u WHERE seq IN (6, 7) GROUP BY 1, 2""")
+def unknown_raw_status(spark, d):
+    """Values that no map lists, planted in two line numbers: one unknown word, one null."""
+    seq, parts = F.col("version_seq"), []
+    for f in FEEDS:
+        raw = F.when(seq == 7, F.lit("on_hold")).when(seq != 6, F.col(f.status_column))
+        parts.append(quality.unknown_raw_status(feed_log(spark, d, f).withColumn(f.status_column, raw), f))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("union_canonical", f"""{WITH} SELECT {CANON}, gross_amount_usd, net_amount_usd, 'manual__19960101T000000Z' AS _ingest_run_id, TIMESTAMP '1996-01-01' AS _interval_start,
   TIMESTAMP '1997-01-01' AS _interval_end FROM u WHERE {SLICE}""")
 def union_all(spark, d):
@@ -156,7 +165,7 @@ def union_all(spark, d):
 @query("fx_convert", f"""{WITH} SELECT order_key, CAST(seq AS BIGINT) AS version_seq, tag AS version_tag, upd AS updated_at_utc,
   CASE WHEN order_date = DATE '1996-03-05' THEN gross_amount ELSE gross_amount_usd END AS gross_amount_usd, order_date = DATE '1996-03-05' AND currency <> 'USD' AS fx_missing FROM u WHERE {SLICE}""")
 def fx_convert(spark, d):
-    fx = fx_rates(spark, d).where("rate_date <> date'1996-03-05'")
+    fx = fx_dimension(spark, d).where("rate_date <> date'1996-03-05'")
     return canonical(spark, d, IV, fx=fx).select("order_key", *VERSION, "updated_at_utc", "gross_amount_usd", "fx_missing")
 
 
@@ -191,8 +200,8 @@ def silver_naive(spark, d):
     return silver(spark, d, "naive").select(*SILVER_COLS)
 
 
-@query("merge_actions", f"""{WITH}, s AS (SELECT * FROM d WHERE iv = 1996), touched AS (SELECT DISTINCT year(order_date) AS y FROM s),
-  t AS (SELECT count(*) AS n FROM guarded WHERE year(order_date) IN (SELECT y FROM touched)), n AS (SELECT count(*) AS n FROM s)
+@query("merge_actions", f"""{WITH}, s AS (SELECT * FROM d WHERE iv = 1996), touched AS (SELECT DISTINCT date_trunc('month', order_date) AS y FROM s),
+  t AS (SELECT count(*) AS n FROM guarded WHERE date_trunc('month', order_date) IN (SELECT y FROM touched)), n AS (SELECT count(*) AS n FROM s)
   SELECT 'guarded' AS name, CAST(0 AS BIGINT) AS inserted, CAST(0 AS BIGINT) AS updated, t.n AS unchanged FROM t
   UNION ALL SELECT 'naive', CAST(0 AS BIGINT), n.n, t.n - n.n FROM t, n""")
 def merge_actions(spark, d):
@@ -204,13 +213,12 @@ def merge_actions(spark, d):
 @query("revenue_by_marketplace_day", f"{WITH} SELECT marketplace, order_date, CAST(sum(net_amount_usd) AS DECIMAL(38,2)) AS net_usd, count(*) AS orders FROM guarded GROUP BY 1, 2")
 def revenue_by_marketplace_day(spark, d):
     """Latest version of every order by recompute, then revenue; no table is written."""
-    log = canonical(spark, d).where((F.year("updated_at_utc") >= YEARS[0]) & (F.year("updated_at_utc") <= YEARS[-1]))
-    return snap.revenue_by_market_day(dedupe_latest(log))
+    return snap.revenue_by_market_day(dedupe_latest(canonical(spark, d)))
 
 
 @query("revenue_on_period", f"{WITH} SELECT CAST(coalesce(sum(net_amount_usd), 0) AS DECIMAL(38,2)) AS net_usd FROM guarded WHERE order_date >= DATE '1996-01-01' AND order_date < DATE '1997-01-01'")
 def revenue_on_period(spark, d):
-    return snap.revenue_on(silver(spark, d).where("order_year = 1996"), "1996-01-01", "1997-01-01")
+    return snap.revenue_on(silver(spark, d).where("order_month >= date'1996-01-01' and order_month < date'1997-01-01'"), "1996-01-01", "1997-01-01")
 
 
 @query("snapshot_totals", f"""{WITH} SELECT count(*) AS row_count, count(DISTINCT order_key) AS key_count, CAST(sum(net_amount_usd) AS DECIMAL(38,2)) AS net_usd,
@@ -283,14 +291,14 @@ def revenue_drift(spark, d):
     return side("guarded", "b").join(side("naive", "a"), "marketplace").select("marketplace", F.round(pct_change(F.col("b"), F.col("a")), 2).cast("decimal(18,2)").alias("drift_pct"))
 
 
-@query("full_recompute_gap", f"""{WITH}, inc AS (SELECT *, row_number() OVER (PARTITION BY order_key ORDER BY upd DESC, seq DESC, tag DESC) AS q FROM u WHERE year(upd) BETWEEN 1995 AND 2000),
+@query("full_recompute_gap", f"""{WITH}, inc AS (SELECT *, row_number() OVER (PARTITION BY order_key ORDER BY upd DESC, seq DESC, tag DESC) AS q FROM u WHERE upd < TIMESTAMP '2001-01-01'),
     f AS (SELECT *, row_number() OVER (PARTITION BY order_key ORDER BY upd DESC, seq DESC, tag DESC) AS q FROM u),
     i AS (SELECT CAST(year(order_date) AS BIGINT) AS order_year, sum(net_amount_usd) AS v FROM inc WHERE q = 1 GROUP BY 1), g AS (SELECT CAST(year(order_date) AS BIGINT) AS order_year, sum(net_amount_usd) AS v FROM f WHERE q = 1 GROUP BY 1)
   SELECT order_year, CAST(coalesce(i.v, 0) AS DECIMAL(38,2)) AS incremental_usd, CAST(coalesce(g.v, 0) AS DECIMAL(38,2)) AS full_usd FROM i FULL JOIN g USING (order_year)""")
 def full_recompute_gap(spark, d):
     """Recent periods are provisional: revenue through 2000 against that of all versions."""
     log = canonical(spark, d)
-    upto = log.where((F.year("updated_at_utc") >= 1995) & (F.year("updated_at_utc") <= 2000))
-    by_year = lambda x, n: silver_batch(x).groupBy("order_year").agg(F.sum("net_amount_usd").cast(snap.MONEY).alias(n))
+    upto = log.where(F.col("updated_at_utc") < F.lit("2001-01-01").cast("timestamp"))
+    by_year = lambda x, n: dedupe_latest(x).groupBy(F.year("order_date").alias("order_year")).agg(F.sum("net_amount_usd").cast(snap.MONEY).alias(n))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast(snap.MONEY).alias(c)
     return by_year(upto, "incremental_usd").join(by_year(log, "full_usd"), "order_year", "full").select("order_year", zero("incremental_usd"), zero("full_usd"))

@@ -37,9 +37,9 @@ def _raw_status(placed: str, r: Column, a: str, n: Column) -> Column:
     return F.when(F.col("version_tag") == "", placed).when(flag == "R", r).when(flag == "A", F.lit(a)).otherwise(n)
 
 
-def feed_log(spark: SparkSession, sf_dir: str, feed: Feed) -> DataFrame:
-    """The append-only log of one feed in its native shape."""
-    v, key, line = version_log(spark, sf_dir), F.col("o_orderkey"), F.substring("version_tag", 2, 1)
+def feed_log(spark: SparkSession, sf_dir: str, feed: Feed, log: DataFrame | None = None) -> DataFrame:
+    """The append-only log of one feed in its native shape; ``log`` is a written version log to read instead of deriving it."""
+    v, key, line = version_log(spark, sf_dir) if log is None else log, F.col("o_orderkey"), F.substring("version_tag", 2, 1)
     shipping = (F.col("o_orderkey") % 2500 / 100).cast(AMOUNT)
     order = [F.col("version_seq"), F.col("version_tag")]
     if feed.marketplace == "shopify":
@@ -68,6 +68,13 @@ def feed_log(spark: SparkSession, sf_dir: str, feed: Feed) -> DataFrame:
     )
 
 
+def version_years(spark: SparkSession, sf_dir: str) -> range:
+    """The years from the first to the last version that can occur; the scans read one date column each."""
+    o = table(spark, sf_dir, "orders").agg(F.min("o_orderdate").cast("date").alias("lo"), F.max("o_orderdate").cast("date").alias("hi")).first()
+    ship = table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate").cast("date")).first()[0]
+    return range(o["lo"].year, max(x for x in (o["hi"], ship) if x).year + 1) if o["lo"] else range(0)
+
+
 def fx_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per pair and order date: the whole dimension, since an order needs the rate of its own day. At most two
     rows per calendar day, so its size is bounded by the calendar and not by the orders."""

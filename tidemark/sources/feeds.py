@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions.scalars import text_clock
 from tidemark.intervals import Interval
@@ -14,13 +15,20 @@ from tidemark.intervals import Interval
 
 @dataclass(frozen=True)
 class Feed:
-    """A source relation with its own expression of the version clock (Spark and SQL form)."""
+    """A source relation with its declared columns and its own expression of the version clock (Spark and SQL form)."""
 
     name: str
     marketplace: str
     source_table: str
     clock_sql: str
     clock: Callable[[], Column]
+    status_column: str
+    ddl: str
+
+    @property
+    def schema(self) -> StructType:
+        """Declared columns; drift from them is an error where bronze is appended."""
+        return StructType.fromDDL(self.ddl)
 
     def bound_query(self, iv: Interval) -> str:
         """Half-open slice as text for a database that evaluates the clock itself."""
@@ -36,10 +44,18 @@ def in_interval(clock: Column, iv: Interval) -> Column:
     return (clock >= lo) & (clock < hi)
 
 
+MONEY = "decimal(12,2)"
+ORDER = "version_seq int, version_tag string"
+SHOPIFY = f"""id bigint, order_number string, created_at timestamp, processed_at timestamp, updated_at timestamp, total_price {MONEY}, subtotal_price {MONEY},
+  total_shipping {MONEY}, total_discounts {MONEY}, currency string, financial_status string, customer_id bigint, {ORDER}"""
+AMAZON = f"""AmazonOrderId string, PurchaseDate timestamp, LastUpdateDate timestamp, OrderTotal_Amount {MONEY}, OrderTotal_CurrencyCode string,
+  ShippingPrice_Amount {MONEY}, OrderStatus string, MarketplaceId string, BuyerInfoHash string, {ORDER}"""
+LAZADA = f"""order_id bigint, created_at string, updated_at string, price string, shipping_fee string, currency string, statuses string,
+  customer_first_name string, {ORDER}"""
 FEEDS: tuple[Feed, ...] = (
-    Feed("shopify_orders", "shopify", "raw_shopify_orders", '"updated_at"', lambda: F.col("updated_at")),
-    Feed("amazon_orders", "amazon", "raw_amazon_orders", '"LastUpdateDate"', lambda: F.col("LastUpdateDate")),
-    Feed("lazada_orders", "lazada", "raw_lazada_orders", '"updated_at"', lambda: text_clock(F.col("updated_at"))),
+    Feed("shopify_orders", "shopify", "raw_shopify_orders", '"updated_at"', lambda: F.col("updated_at"), "financial_status", SHOPIFY),
+    Feed("amazon_orders", "amazon", "raw_amazon_orders", '"LastUpdateDate"', lambda: F.col("LastUpdateDate"), "OrderStatus", AMAZON),
+    Feed("lazada_orders", "lazada", "raw_lazada_orders", '"updated_at"', lambda: text_clock(F.col("updated_at")), "statuses", LAZADA),
 )
 FEEDS_BY_NAME = {f.name: f for f in FEEDS}
 
@@ -73,5 +89,6 @@ def read_jdbc_query(spark: SparkSession, feed: Feed, iv: Interval, url: str, dri
 
 
 def seed_jdbc(log: DataFrame, feed: Feed, url: str, driver: str) -> None:
-    """Load generated rows into the source database."""
-    log.write.format("jdbc").options(url=url, driver=driver, dbtable=feed.source_table).mode("overwrite").save()
+    """Load generated rows into the source database. Repeating it gives the same rows: an existing table is emptied and
+    keeps its definition and grants."""
+    log.write.format("jdbc").options(url=url, driver=driver, dbtable=feed.source_table, truncate="true").mode("overwrite").save()

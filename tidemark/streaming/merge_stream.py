@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.merge import merge_into_silver
-from tidemark.plans.pipeline import silver_batch
+from tidemark.plans.pipeline import merge_batch
 
 
 def merge_stream(canonical: DataFrame, silver_path: str, checkpoint: str, guarded: bool = True) -> StreamingQuery:
     """Start the stream over what is available; the guard makes a repeated micro-batch a no-op."""
 
     def each(batch: DataFrame, _: int) -> None:
-        merge_into_silver(batch.sparkSession, silver_batch(batch), silver_path, guarded=guarded)
+        merge_batch(batch.sparkSession, batch, {silver_path: guarded})
 
     return canonical.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
