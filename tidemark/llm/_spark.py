@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,12 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share; where ``spark.checkpoint.dir`` is unset (tests) it is set."""
+    """A fresh path in the folder all executors share; where ``spark.checkpoint.dir`` is unset, it is set in local mode (tests)
+    and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-llm-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import wave
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._spark import written
 
-RATE, FRAME, HOP, SPAN = 4000, 1024, 512, 16
+#: Four frames overlap, so that a shift of half a hop moves a frame by an eighth.
+RATE, FRAME, HOP, SPAN = 4000, 1024, 256, 32
+#: Frames that are transformed at a time, whatever a recording's length.
+FRAMES_AT_ONCE = 2048
+#: A recording of fewer samples a second holds no pitch of most classes and counts as unreadable.
+MIN_RATE = 1000
 NOTE_SAMPLES = 512
 #: Frame pairs of one value in two recordings that are counted one by one; beyond it they are counted by a correlation.
 SINGLE_PAIRS = 4096
@@ -39,37 +45,52 @@ def sonify(values: np.ndarray) -> bytes:
 
 
 def decode(raw: bytes | None) -> np.ndarray:
-    """Mono samples at RATE of a 16-bit WAV; null, empty or unreadable media are silent and have no frames."""
+    """Mono samples at RATE of a WAV of 8 (unsigned), 16, 24 or 32 bits. Media that are null, empty, unreadable or below MIN_RATE
+    are silent and have no frames; a last frame that is cut short is dropped."""
     if not raw:
         return np.zeros(0)
     try:
         with wave.open(io.BytesIO(raw)) as w:
-            x = np.frombuffer(w.readframes(w.getnframes()), dtype="<i2").astype(float)
-            x = x.reshape(-1, w.getnchannels()).mean(axis=1)
-            rate = w.getframerate()
+            width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
+            b = np.frombuffer(w.readframes(w.getnframes()), dtype=np.uint8)
     except (wave.Error, EOFError, ValueError):
         return np.zeros(0)
+    if rate < MIN_RATE or not 1 <= width <= 4:
+        return np.zeros(0)
+    b = b[: len(b) // (width * channels) * width * channels].reshape(-1, width)
+    if width == 1:
+        x = (b[:, 0].astype(float) - 128) * 256
+    else:  # bytes as the upper ones of a 32-bit integer, then on the scale of 16 bits
+        wide = np.zeros((len(b), 4), dtype=np.uint8)
+        wide[:, 4 - width :] = b
+        x = wide.view("<i4")[:, 0] / 65536
+    x = x.reshape(-1, channels).mean(axis=1)
     return x if rate == RATE else np.interp(np.arange(0, len(x), rate / RATE), np.arange(len(x)), x)
 
 
-def chroma(x: np.ndarray) -> np.ndarray:
-    """(frames, 12) energies of pitch classes, each frame of unit length."""
-    n = max(0, (len(x) - FRAME) // HOP + 1)
-    if not n:
-        return np.zeros((0, 12))
-    at = np.arange(n)[:, None] * HOP + np.arange(FRAME)
-    power = np.abs(np.fft.rfft(x[at] * np.hanning(FRAME), axis=1)) ** 2
+@cache
+def _fold() -> np.ndarray:
+    """(frequency bin, pitch class) incidence between 60 and 1900 Hz."""
     freq = np.fft.rfftfreq(FRAME, 1 / RATE)
     ok = (freq > 60) & (freq < 1900)
     fold = np.zeros((len(freq), 12))
     fold[np.flatnonzero(ok), np.round(12 * np.log2(freq[ok] / 440)).astype(int) % 12] = 1
-    c = power @ fold
+    return fold
+
+
+def chroma(x: np.ndarray) -> np.ndarray:
+    """(frames, 12) energies of pitch classes, each frame of unit length."""
+    c, window, fold = np.zeros((max(0, (len(x) - FRAME) // HOP + 1), 12)), np.hanning(FRAME), _fold()
+    for a in range(0, len(c), FRAMES_AT_ONCE):
+        part = c[a : a + FRAMES_AT_ONCE]
+        at = (a + np.arange(len(part)))[:, None] * HOP + np.arange(FRAME)
+        part[:] = np.abs(np.fft.rfft(x[at] * window, axis=1)) ** 2 @ fold
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
     """Sixteen (kind, first pitch class, height, width) boxes by rule: four kinds at four pitch offsets and growing widths."""
-    return [(i % 4, 3 * (i // 4), 3 + 3 * (i % 3 == 0), (4, 8, 12, 16)[(i // 4 + i) % 4]) for i in range(16)]
+    return [(i % 4, 3 * (i // 4), 3 + 3 * (i % 3 == 0), (SPAN // 4, SPAN // 2, SPAN * 3 // 4, SPAN)[(i // 4 + i) % 4]) for i in range(16)]
 
 
 def fingerprint(c: np.ndarray) -> np.ndarray:
