@@ -1,3 +1,5 @@
+import zlib
+
 from pyspark.sql import functions as F
 
 from tidemark.llm.quality import quality_scores
@@ -20,3 +22,19 @@ def test_edge_cases(spark):
     assert quality_scores(docs, labels).count() == 5
     assert {r["score"] for r in quality_scores(docs, labels.limit(0)).collect()} == {0.5}
     assert quality_scores(docs.limit(0), labels).count() == 0
+
+
+def test_contract_columns_and_no_leak_of_labels(spark, sf_dir):
+    """held_out and predicted as defined; held-out labels and every column but the text have no influence on a score."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = docs.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(None).cast("bigint"), "text": F.lit("")}))
+    rows = quality_scores(docs, labels).collect()
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 4 == 2)
+        assert r["predicted"] == int(r["score"] >= 0.7)
+    held = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2")
+    assert labels.where(held).count() > 0
+    flipped = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    renamed = docs.withColumns({"lang": F.lit("zz"), "source": F.lit("other")})
+    again = quality_scores(renamed, flipped).collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, rows), key=repr)
