@@ -63,3 +63,16 @@ def test_runs_compact(spark):
     other.add(docs)
     as_sets = lambda x: {(r["_id"], frozenset(r["fps"])) for r in x.shared().collect()}
     assert as_sets(index) == as_sets(other)
+    index.drop(), other.drop()
+
+
+def test_query_compacts_and_leaves_no_run(spark, monkeypatch):
+    made = []
+    real = FingerprintIndex.drop
+    monkeypatch.setattr(FingerprintIndex, "drop", lambda self: (made.append((len(self.made), len(self.runs))), real(self)))
+    rows = [(i, " ".join(f"c{j}" for j in range(i, i + 40))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(substring_dedup(docs)) == brute(rows, 20)
+    # Three batches and one compaction of the first two.
+    assert made == [(4, 2)]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("run_")]

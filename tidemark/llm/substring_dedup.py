@@ -3,13 +3,12 @@
 Fingerprints are hashes of content-chosen word grams (the smallest gram hash of each window), so equal windows carry
 equal fingerprints and about one position in seven is indexed. A batch becomes one immutable run, bucketed and sorted by
 fingerprint; it is merge-joined with the older runs bucket by bucket, without an exchange. Windows under a shared
-fingerprint are verified by the hash of their whole word sequence; the earliest occurrence stays. When runs exceed the fan-in
-they are compacted into one sorted run.
+fingerprint are verified by the hash of their whole word sequence; the earliest occurrence stays. Runs that reach the fan-in
+are compacted into one sorted run before the next batch.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 from functools import reduce
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.llm import _text as t
-from tidemark.llm._spark import KEY, keyed, shared_folder
+from tidemark.llm._spark import KEY, freed, keyed, remove, shared_folder, written
 
 GRAM = 8
 SALTS = 32
@@ -173,8 +172,9 @@ class FingerprintIndex:
     """Log-structured index of fingerprints over immutable runs in a shared folder.
 
     ``add`` merge-joins a batch with the runs and returns nothing; ``shared`` has, for each document of any batch, the
-    fingerprints it shares; ``compact`` rewrites the runs as one. Runs are Parquet, bucketed and sorted by fingerprint, so
-    the merge join reads bucket against bucket with no exchange.
+    fingerprints it shares; ``compact`` rewrites the runs as one; ``drop`` deletes all runs. Runs are Parquet, bucketed and
+    sorted by fingerprint, so the merge join reads bucket against bucket with no exchange. Links refer to the runs that they
+    were found in, so compacted runs stay until ``drop``.
     """
 
     def __init__(self, spark: SparkSession, window: int = 20, gram: int = GRAM, buckets: int = 0, fan_in: int = 4, path: str | None = None):
@@ -182,11 +182,14 @@ class FingerprintIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = path or shared_folder(spark, "fingerprints")
         self.runs: list[str] = []
+        self.made: list[str] = []
         self.links: list[DataFrame] = []
 
     def _write_run(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name)
+        with freed(self.spark):
+            rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name)
+        self.made.append(name)
         return name
 
     def add(self, docs: DataFrame) -> None:
@@ -204,30 +207,34 @@ class FingerprintIndex:
             self.links.append(old.join(fresh.hint("merge"), "fp", "left_semi").select("fp", *KEY))
         self.links.append(own.select("fp", *KEY))
         self.runs.append(name)
-        # The run is on disk: let Spark's cleaner drop the shuffle files that wrote it.
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
 
     def compact(self, force: bool = False) -> None:
-        """Merge all runs into one sorted run once there are more than the fan-in."""
-        if len(self.runs) > 1 and (force or len(self.runs) > self.fan_in):
+        """Merge all runs into one sorted run once there are as many as the fan-in."""
+        if len(self.runs) > 1 and (force or len(self.runs) >= self.fan_in):
             self.runs = [self._write_run(reduce(DataFrame.unionByName, [self.spark.table(r) for r in self.runs]))]
 
     def shared(self) -> DataFrame:
         """Each document's shared fingerprints, of all batches so far."""
         return reduce(DataFrame.unionByName, self.links).groupBy(*KEY).agg(F.collect_set("fp").alias("fps"))
 
+    def drop(self) -> None:
+        """Delete the tables and files of all runs."""
+        for name in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, self.path)
+        self.runs, self.made, self.links = [], [], []
 
-def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, whole: bool = False) -> DataFrame:
+
+def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 3, whole: bool = False, fan_in: int = 2) -> DataFrame:
     """Remove each word covered by a ``window``-word sequence that also starts earlier (smaller id, or same document).
 
     Returns doc_id, n_words, n_removed, kept_sha256, kept_text (null where nothing went) and, with ``whole``, the
-    row as a struct. Documents are added to the index in ``batches`` by ascending id. Null text has no words; an empty
+    row as a struct. Documents are added to the index in ``batches`` by ascending id; ``fan_in`` runs are compacted. Null text has no words; an empty
     table gives no rows; rows equal in id and text count once and each gets the result; other columns are ignored.
     """
     spark = docs.sparkSession
     base = keyed(docs, whole)
-    index = FingerprintIndex(spark, window)
+    index = FingerprintIndex(spark, window, fan_in=fan_in)
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
     for lo, hi in zip(edges, edges[1:]):
@@ -236,10 +243,12 @@ def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, whole:
             part = part.where(F.col("doc_id") > lo)
         if hi is not None:
             part = part.where((F.col("doc_id") <= hi) | F.col("doc_id").isNull() if lo is None else F.col("doc_id") <= hi)
-        index.add(part)
         index.compact()
+        index.add(part)
+    shared = written(index.shared(), "shared-fingerprints")
+    index.drop()
     # All three joins read the same columns of ``base``, so that its exchange by key is made once and reused.
-    spans = base.join(index.shared().hint("merge"), KEY).mapInArrow(_shared_spans(window, index.gram), "h bigint, fp bigint, _id bigint, _th bigint, start int, n int")
+    spans = base.join(shared.hint("merge"), KEY).mapInArrow(_shared_spans(window, index.gram), "h bigint, fp bigint, _id bigint, _th bigint, start int, n int")
     firsts, later = split_first(spans)
     # Equal windows share their fingerprint and one run holds no window twice, so windows need a look only where a
     # fingerprint has several different runs. The aggregate reads all columns, as the join does, to share its exchange.
