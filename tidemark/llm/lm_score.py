@@ -34,7 +34,7 @@ def _pack(x: np.ndarray) -> bytes:
 
 def _unpack(raw: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, len(raw) // size).T).view(kind).ravel()
 
 
 def _pack_counts(x: np.ndarray) -> bytes:
@@ -98,8 +98,12 @@ def _send(ranges: int):
         part = (x.keys >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(x.keys), dtype=np.int64)
         cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, dtype=np.int64)
         end = np.append(cut[1:], len(part))
+        number = part[cut]
+        if not len(number) or number[0]:
+            # Every block has a row of range 0, which carries the model to it.
+            number, cut, end = (np.append(0, y).astype(np.int64) for y in (number, cut, end[: len(cut)]))
         return pa.table({
-            "part": pa.array(part[cut], pa.int64()), "block": pa.array([key[0].as_py()] * len(cut), pa.int64()),
+            "part": pa.array(number, pa.int64()), "block": pa.array([key[0].as_py()] * len(cut), pa.int64()),
             "keys": pa.array([_pack(x.keys[a:z]) for a, z in zip(cut, end)], pa.binary()), "counts": pa.array([_pack_counts(x.count[a:z]) for a, z in zip(cut, end)], pa.binary()),
         })
 
@@ -160,17 +164,13 @@ def learn_weights(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarra
     return weight
 
 
-def _model(blocks: int):
-    """All bins and the corpus sizes -> the model, one copy for each block."""
-
-    def run(table: pa.Table) -> pa.Table:
-        bucket, a, b, c = (np.asarray(table.column(k)) for k in ("bucket", "a", "b", "c"))
-        n, v = (int(c[bucket == k].sum()) for k in (-1, -2))
-        real = bucket >= 0
-        weight = learn_weights(bucket[real], a[real].astype(float), b[real].astype(float), c[real].astype(float), n, v)
-        return pa.table({"block": np.arange(blocks), "part": pa.array([-1] * blocks, pa.int64()), "totals": pa.array([_pack(weight.ravel())] * blocks, pa.binary()), "tokens": pa.array([n] * blocks, pa.int64()), "kinds": pa.array([v] * blocks, pa.int64())})
-
-    return run
+def _model(table: pa.Table) -> pa.Table:
+    """All bins and the corpus sizes -> the model as one row: tokens, distinct tokens, weights."""
+    bucket, a, b, c = (np.asarray(table.column(k)) for k in ("bucket", "a", "b", "c"))
+    n, v = (int(c[bucket == k].sum()) for k in (-1, -2))
+    real = bucket >= 0
+    weight = learn_weights(bucket[real], a[real].astype(float), b[real].astype(float), c[real].astype(float), n, v)
+    return pa.table({"model": pa.array([np.array([n, v], dtype=np.int64).tobytes() + weight.tobytes()], pa.binary())})
 
 
 _OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -179,10 +179,11 @@ _OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_
 def _score(left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows:
         return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{k: pa.array([], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")}, **{k: pa.array([], pa.float64()) for k in ("base_score", "score")}})
-    rows = list(zip(right.column("part").to_pylist(), right.column("totals").to_pylist(), right.column("tokens").to_pylist(), right.column("kinds").to_pylist()))
-    weight, n, v = next((_unpack(x, np.float64).reshape(-1, 3), tokens, kinds) for part, x, tokens, kinds in rows if part == -1)
+    model = right.column("model").drop_null()[0].as_py()
+    n, v = (int(y) for y in np.frombuffer(model[:16], dtype=np.int64))
+    weight = np.frombuffer(model[16:], dtype=np.float64).reshape(-1, 3)
     x = _Block(left)
-    c, pair, context = x.totals([(part, y) for part, y, _, _ in rows if part >= 0])
+    c, pair, context = x.totals(list(zip(right.column("part").to_pylist(), right.column("totals").to_pylist())))
     base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
     w = weight[_bucket(context)]
     known = context > 0
@@ -215,8 +216,8 @@ def lm_scores(docs: DataFrame, mod: int = 10, rest: int = 0) -> DataFrame:
     bins = rows.groupBy("block").cogroup(added.where("block >= 0").groupBy("block")).applyInArrow(_deleted, "bucket bigint, a bigint, b bigint, c bigint")
     bins = bins.groupBy("bucket", "a", "b").agg(F.sum("c").alias("c"))
     size_of = lambda k, c: added.where("block < 0").agg(F.coalesce(F.sum(c), F.lit(0)).alias("c")).select(F.lit(k).cast("bigint").alias("bucket"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), "c")
-    # The bins are bounded by their steps, whatever the corpus: one task can learn from them.
+    # The bins are bounded by their steps, whatever the corpus: one task can learn from them. The model is one value of 1 kB.
     every = bins.unionByName(size_of(-1, "tokens")).unionByName(size_of(-2, "kinds"))
-    model = every.groupBy(F.lit(0).alias("one")).applyInArrow(_model(blocks), schema)
-    given = added.where("block >= 0").unionByName(model)
+    model = every.groupBy(F.lit(0).alias("one")).applyInArrow(_model, "model binary")
+    given = added.where("block >= 0").select("*", F.when(F.col("part") == 0, model.scalar()).alias("model"))
     return rows.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_score, _OUT)
