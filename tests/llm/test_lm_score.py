@@ -1,7 +1,7 @@
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -12,7 +12,7 @@ END, START = object(), object()
 
 
 def brute(rows, learn):
-    """Direct counts; the mixture weights are learned from exact deleted estimates, without bins."""
+    """Direct counts and estimates under the given mixture weights."""
     tokens = [(d, zlib.crc32(str(d if d is not None else "").encode()) % 10 == 0, [*WORD.findall(x or ""), END]) for d, x in rows]
     uni, bi = Counter(), Counter()
     for _, held, w in tokens:
@@ -33,12 +33,27 @@ def brute(rows, learn):
     return out
 
 
-def check(spark, rows, monkeypatch):
+def em(bins, n, v):
+    """Weights of each context bucket by expectation-maximisation, one bin at a time, written apart from the product's."""
+    weight = defaultdict(lambda: [1 / 3] * 3)
+    estimates = {}
+    for k, a, b in bins:
+        known, twice = b > lm_score.EMPTY, a > lm_score.EMPTY
+        estimates[k, a, b] = (min(1.0, 2 ** ((a + b) / 8)) if twice else 0.0, 2 ** (b / 8) / max(1, n - 1) if known else 0.0, 1 / (v + 1))
+    for _ in range(30):
+        sums = defaultdict(lambda: [1e-3] * 3)
+        for key, count in bins.items():
+            parts = [w * p for w, p in zip(weight[key[0]], estimates[key])]
+            for i, x in enumerate(parts):
+                sums[key[0]][i] += count * x / sum(parts)
+        weight.update({k: [x / sum(xs) for x in xs] for k, xs in sums.items()})
+    return weight
+
+
+def check(spark, rows):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, block int")
-    seen = {}
-    real = lm_score.learn_weights
     got = {r["doc_id"]: tuple(r)[1:] for r in lm_score.lm_scores(docs).collect()}
-    # The same bins, learned again here, give the weights for the direct computation.
+    # The same bins, counted directly and learned by another program, give the weights for the direct computation.
     tokens = [[*WORD.findall(x or ""), END] for d, x in rows if zlib.crc32(str(d if d is not None else "").encode()) % 10]
     uni, bi = Counter(x for w in tokens for x in w), Counter(p for w in tokens for p in zip([START, *w], w))
     n, v, bins = sum(uni.values()), len(uni), Counter()
@@ -47,11 +62,7 @@ def check(spark, rows, monkeypatch):
             cv, c, c2 = (len(tokens) if p is START else uni[p]), uni[x], bi[p, x]
             a = round(8 * math.log2((c2 - 1) / ((cv - 1) * (c - 1)))) if c2 > 1 else lm_score.EMPTY
             bins[int(math.log2(cv)), a, round(8 * math.log2(c - 1)) if c > 1 else lm_score.EMPTY] += 1
-    import numpy as np
-
-    k = np.array(list(bins), dtype=float).reshape(-1, 3)
-    seen = real(k[:, 0].astype(int), k[:, 1], k[:, 2], np.array(list(bins.values()), dtype=float), n, v)
-    want = brute(rows, seen)
+    want = brute(rows, em(bins, n, v))
     for d, x in want.items():
         assert got[d][:4] == x[:4]
         assert got[d][4:] == pytest.approx(x[4:], rel=1e-6)
@@ -61,13 +72,13 @@ def check(spark, rows, monkeypatch):
 def test_edge_cases(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", 200)
     rows = [(i, f"the cat sat on the mat number {i % 5} and the dog {i} ran") for i in range(40)] + [(100, None), (101, ""), (None, "the cat"), (102, "new words only"), (103, "x " * 500)]
-    check(spark, rows, monkeypatch)
+    check(spark, rows)
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm_score.lm_scores(docs).count() == 0
 
 
-def test_table(spark, sf_dir, monkeypatch):
+def test_table(spark, sf_dir):
     rows = [(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
-    got = check(spark, rows, monkeypatch)
+    got = check(spark, rows)
     held = [x for x in got.values() if x[0]]
     assert sum(x[5] for x in held) > sum(x[4] for x in held)
