@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of rows that any operator broadcasts (rows are at most a few dozen bytes: tens of MB).
 BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch inside ``small_batches``.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -33,17 +35,26 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def freed(spark: SparkSession):
-    """Spark drops the shuffle files of each write in here as the write ends: its rows are on shared disk by then."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    old = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def _set(spark: SparkSession, name: str, value: str):
+    old = spark.conf.get(name)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, old)
 
 
+def freed(spark: SparkSession):
+    """Spark drops the shuffle files of each write in here as the write ends: its rows are on shared disk by then."""
+    return _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession):
+    """Jobs in here send rows to their Python workers in batches of few bytes: a batch is held whole on both sides, outside
+    the heap. For functions over batches whose result does not depend on where batches end."""
+    return _set(spark, "spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a step to the shared folder and read it back: lineage ends, and a lost executor repeats no earlier step."""
     spark = df.sparkSession

@@ -6,13 +6,16 @@ document, whichever is larger.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
+#: Chunk of the operators that the pipeline chains. Their arrays take up to 200 bytes for each byte of a chunk, in every worker.
+SMALL_BYTES = 1 << 18
 #: Hashes that decide are polynomials modulo the Mersenne prime 2^61 - 1. (Modulo a power of two, Thue-Morse strings of 1,024
 #: letters collide whatever the base.)
 PRIME = (1 << 61) - 1
@@ -164,6 +167,27 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         a = z
 
 
+def release() -> None:
+    """Give the memory of freed arrays back to the system, where its allocator can be asked to."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """A function over batches after whose task the worker keeps no freed memory. A worker lives on, idle, beside the stages that
+    follow, and all that it holds counts as its executor's."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def words(b: np.ndarray, off: np.ndarray, table: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words, and each document's offsets into them. Words never cross documents."""
     if not len(b):

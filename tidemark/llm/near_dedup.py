@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import _text as t
-from tidemark.llm._spark import KEY, keyed, small_or_shuffled, written
+from tidemark.llm._spark import KEY, keyed, small_batches, small_or_shuffled, written
 
 SHINGLE = 5
 ROWS, BANDS = 5, 26
 WORD = "[^\\x20\\x09-\\x0D]"
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Pivots of a bucket in the first extra round, and pairs between classes a bucket row that are verified at once.
 PIVOTS, PAIRS_A_ROW = 8, 64
 #: Bytes of text in one side of a block and in a shard of blocks; a document counts as LEAST bytes at least, which bounds a
@@ -95,7 +95,7 @@ def _elements(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarra
     """Shingle occurrences of each row as distinct elements (shingle, how often before), and the rows' offsets: the overlap of
     two bags is the number of equal elements."""
     parts, sizes = [], []
-    for a, z, b, off in t.chunks(column):
+    for a, z, b, off in t.chunks(column, t.SMALL_BYTES):
         doc, h, c = bag(b, off)
         k = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
         parts.append(t.mix(np.repeat(h, c) + t.mix(k.astype(np.uint64), 4)))
@@ -184,6 +184,11 @@ def _linked(threshold: float):
     each document to the first that it reaches here: as many rows as documents, and the same classes."""
 
     def run(table: pa.Table) -> pa.Table:
+        links = of_shard(table)
+        t.release()
+        return links
+
+    def of_shard(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("g", "i", "j", *KEY)])
         e, off = _elements(table.column("text"))
         n = np.diff(off)
@@ -297,8 +302,9 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     first = rows.groupBy("d").agg(F.min(node).alias("rep"))
     member = written(rows.join(first, "d").select(node.alias("v"), "rep"), "copies")
     reps = member.where("v = rep").select("v._id", "v._th")
-    bands = base.select(*KEY, "text").mapInArrow(_signatures, "_id bigint, _th bigint, size int, bands array<bigint>")
-    bands = written(bands.join(reps, KEY, "left_semi").select(node.alias("v"), "size", F.explode("bands").alias("band")).distinct(), "bands")
+    bands = base.select(*KEY, "text").mapInArrow(t.released(_signatures), "_id bigint, _th bigint, size int, bands array<bigint>")
+    with small_batches(docs.sparkSession):
+        bands = written(bands.join(reps, KEY, "left_semi").select(node.alias("v"), "size", F.explode("bands").alias("band")).distinct(), "bands")
     # First round: the first member of each bucket against the others, grouped by that pivot, so a text travels once a pivot.
     buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("p")).where("n > 1").select("band", "p")
     met = bands.join(buckets, "band").select("p", "v", "size").distinct()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.llm import _text as t
-from tidemark.llm._spark import held_out
+from tidemark.llm._spark import held_out, small_batches
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4)
@@ -47,7 +47,7 @@ def features(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bags(batches):
     """(id, label, text) -> distinct buckets and counts, at most BUCKETS of them whatever the text's length."""
     for batch in batches:
-        for a, z, b, off in t.chunks(batch.column("text")):
+        for a, z, b, off in t.chunks(batch.column("text"), t.SMALL_BYTES):
             ids, foff = features(b, off)
             bags = [np.unique(ids[foff[i] : foff[i + 1]], return_counts=True) for i in range(z - a)]
             cut = np.cumsum([0, *[len(x[0]) for x in bags]], dtype=np.int32)
@@ -100,9 +100,10 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, label
     known = known.groupBy("_d").agg(F.max("y").alias("y"))
     sample = F.broadcast(known.orderBy(F.xxhash64("_d"), "_d").limit(rows))  # bounded by ``rows``
     text = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_d")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "y", "text")
-    bags = text.mapInArrow(_bags, "doc_id bigint, y int, ids array<int>, counts array<int>")
+    bags = text.mapInArrow(t.released(_bags), "doc_id bigint, y int, ids array<int>, counts array<int>")
     # One task learns from the bounded sample; the driver gets one number a bucket.
-    got = bags.groupBy(F.lit(0).alias("all")).applyInArrow(_fit_table, "weight binary, bias double").first()
+    with small_batches(docs.sparkSession):
+        got = bags.groupBy(F.lit(0).alias("all")).applyInArrow(_fit_table, "weight binary, bias double").first()
     return fit([], np.zeros(0, dtype=np.int64)) if got is None else Model(np.frombuffer(bytes(got["weight"])), got["bias"])
 
 
@@ -117,23 +118,30 @@ def _fit_table(table: pa.Table) -> pa.Table:
     y, own = np.asarray(table.column("y")), np.asarray(table.column("doc_id"))
     order = np.lexsort(([int((i.astype(np.int64) * 31 + c).sum()) for i, c in bags], [len(i) for i, _ in bags], own))
     model = fit([bags[i] for i in order], y[order])
+    del bags, y, own
+    t.release()
     return pa.table({"weight": pa.array([model.weight.tobytes()], pa.binary()), "bias": pa.array([model.bias])})
 
 
 def score(docs: DataFrame, model: Model, whole: bool = False, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted and, with ``whole``, the row as a struct. Null text is empty and gets the bias alone."""
+    """doc_id, held_out, score, predicted and, with ``whole``, the row as a struct. Null text is empty and gets the bias alone.
+    A text goes to the workers and back once: the row's other columns travel beside it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out(4, 2).alias("held_out"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * whole)
-    kept = ["doc_id", "held_out", *["row"] * whole]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out(4, 2).alias("held_out"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")] * whole)
+    kept = ["doc_id", "held_out", *["rest", "text"] * whole]
 
     def run(batches):
         for batch in batches:
-            for a, z, b, off in t.chunks(batch.column("text")):
+            for a, z, b, off in t.chunks(batch.column("text"), t.SMALL_BYTES):
                 p = shared.value.scores(b, off)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, z - a) for c in kept), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
 
     schema = StructType([rows.schema[c] for c in kept]).add("score", "double").add("predicted", "integer")
-    return rows.mapInArrow(run, schema)
+    scored = rows.mapInArrow(t.released(run), schema)
+    if not whole:
+        return scored
+    row = F.struct(*[(F.col("text") if c == "text" else F.col("rest").getField(c)).alias(c) for c in docs.columns])
+    return scored.select("doc_id", "held_out", row.alias("row"), "score", "predicted")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, whole: bool = False) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.llm import _text as t
-from tidemark.llm._spark import KEY, freed, keyed, remove, shared_folder, written
+from tidemark.llm._spark import KEY, freed, keyed, remove, shared_folder, small_batches, written
 
 GRAM = 8
 SALTS = 32
@@ -32,7 +32,7 @@ def _fingerprints(window: int, gram: int):
     def run(batches):
         for batch in batches:
             ids, ths = (np.asarray(batch.column(c)) for c in KEY)
-            for a, z, b, off in t.chunks(batch.column("text")):
+            for a, z, b, off in t.chunks(batch.column("text"), t.SMALL_BYTES):
                 s, e, woff = t.words(b, off)
                 doc, _, _, h = t.spans(t.word_hashes(b, s, e), woff, window, gram)
                 if not len(doc):
@@ -67,7 +67,7 @@ def _shared_spans(window: int, gram: int):
     def run(batches):
         for batch in batches:
             ids, ths = (np.asarray(batch.column(c)) for c in KEY)
-            for a, z, b, off in t.chunks(batch.column("text")):
+            for a, z, b, off in t.chunks(batch.column("text"), t.SMALL_BYTES):
                 s, e, woff = t.words(b, off)
                 u = t.word_hashes(b, s, e)
                 doc, start, n, h = t.spans(u, woff, window, gram)
@@ -97,7 +97,7 @@ def _window_hashes(window: int):
     def run(batches):
         for batch in batches:
             ids, ths = (np.asarray(batch.column(c)) for c in KEY)
-            for a, z, b, off in t.chunks(batch.column("text")):
+            for a, z, b, off in t.chunks(batch.column("text"), t.SMALL_BYTES):
                 s, e, woff = t.words(b, off)
                 flat, loff = _lists(batch, "runs", a, z)
                 if not len(flat):
@@ -120,7 +120,7 @@ def _removed(window: int):
 
     def run(batches):
         for batch in batches:
-            for a, z, b, off in t.chunks(batch.column("text")):
+            for a, z, b, off in t.chunks(batch.column("text"), t.SMALL_BYTES):
                 s, e, woff = t.words(b, off)
                 flat, loff = _lists(batch, "runs", a, z)
                 gone = np.zeros(len(s) + 1, dtype=np.int32)
@@ -187,7 +187,7 @@ class FingerprintIndex:
 
     def _write_run(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
-        with freed(self.spark):
+        with freed(self.spark), small_batches(self.spark):
             rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name)
         self.made.append(name)
         return name
@@ -195,7 +195,7 @@ class FingerprintIndex:
     def add(self, docs: DataFrame) -> None:
         """Append a batch of keyed documents as one run, and note which documents share a fingerprint through it."""
         schema = "fp bigint, _id bigint, _th bigint, many boolean"
-        name = self._write_run(docs.select(*KEY, "text").mapInArrow(_fingerprints(self.window, self.gram), schema))
+        name = self._write_run(docs.select(*KEY, "text").mapInArrow(t.released(_fingerprints(self.window, self.gram)), schema))
         new = self.spark.table(name)
         groups = new.groupBy("fp").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.min("_th").alias("tl"), F.max("_th").alias("th"), F.max("many").alias("m"))
         twice = groups.where("m or lo <> hi or tl <> th").select("fp").hint("merge")
@@ -248,7 +248,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 3, whole:
     shared = written(index.shared(), "shared-fingerprints")
     index.drop()
     # All three joins read the same columns of ``base``, so that its exchange by key is made once and reused.
-    spans = base.join(shared.hint("merge"), KEY).mapInArrow(_shared_spans(window, index.gram), "h bigint, fp bigint, _id bigint, _th bigint, start int, n int")
+    spans = base.join(shared.hint("merge"), KEY).mapInArrow(t.released(_shared_spans(window, index.gram)), "h bigint, fp bigint, _id bigint, _th bigint, start int, n int")
     firsts, later = split_first(spans)
     # Equal windows share their fingerprint and one run holds no window twice, so windows need a look only where a
     # fingerprint has several different runs. The aggregate reads all columns, as the join does, to share its exchange.
@@ -256,11 +256,11 @@ def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 3, whole:
     run = F.struct(*KEY, "start", "n")
     several = firsts.groupBy("fp").agg(F.min(run).alias("lo"), F.max(run).alias("hi")).where("lo <> hi").select("fp")
     firsts = packed_runs(firsts.join(several.hint("merge"), "fp", "left_semi"))
-    single = base.join(firsts.hint("merge"), KEY).mapInArrow(_window_hashes(window), "h bigint, _id bigint, _th bigint, start int")
+    single = base.join(firsts.hint("merge"), KEY).mapInArrow(t.released(_window_hashes(window)), "h bigint, _id bigint, _th bigint, start int")
     again = split_first(single)[1].withColumn("n", F.lit(1))
     # The test of fp always holds; it keeps this branch's exchanges equal to those of ``firsts``.
     gone = later.where("fp is not null").drop("fp").unionByName(again)
     schema = StructType.fromDDL("doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
     if whole:
         schema = schema.add("row", base.schema["row"].dataType)
-    return base.join(packed_runs(gone).hint("merge"), KEY, "left").mapInArrow(_removed(window), schema)
+    return base.join(packed_runs(gone).hint("merge"), KEY, "left").mapInArrow(t.released(_removed(window)), schema)
