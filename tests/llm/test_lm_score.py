@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tidemark.llm import lm_score
+from tidemark.llm import contract, lm_score
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 END, START = object(), object()
@@ -82,3 +82,34 @@ def test_table(spark, sf_dir):
     got = check(spark, rows)
     held = [x for x in got.values() if x[0]]
     assert sum(x[5] for x in held) > sum(x[4] for x in held)
+
+
+def contract_rows(rows):
+    """The columns that the contract of op8 fixes, counted directly."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = [(d, zlib.crc32(str(d if d is not None else "").encode()) % 10 == 0, [*WORD.findall((x or "").translate(low)), END]) for d, x in rows]
+    count = Counter(x for _, held, w in tokens if not held for x in w)
+    n, v = sum(count.values()), len(count)
+    return [(d, held, len(w), sum(count[x] > 0 for x in w), n, math.fsum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for d, held, w in tokens]
+
+
+def order(r):
+    return r[0] is not None, r[0] or 0, r[2], r[5]
+
+
+def test_query_lowers_ascii(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 200)
+    rows = [(i, x) for i, x in enumerate(["The Cat SAT", "the cat sat", "[At] @Z `z {z Z", "École éCOLE école", "KELVIN kelvin Kelvin", "İ I i ı", "A\x0bB\x0cC D E\x85F\x1cG", None, "", " \t\r\n"] * 6)]
+    rows += [(-1, "THE end"), (-1, "the END"), (-7, "Twice"), (-7, "Twice"), (None, "Unseen Words"), (None, None), (200, "Z" * 3000 + " " + "z" * 3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in contract.QUERIES["op8_lm_score"](spark, str(tmp_path)).collect()), key=order)
+    want = sorted(contract_rows(rows), key=order)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [r[5] for r in got] == pytest.approx([r[5] for r in want], rel=1e-9)
+    # The model's score too is that of the lower-cased texts.
+    low = spark.createDataFrame([(d, x and re.sub("[A-Z]", lambda m: m[0].lower(), x)) for d, x in rows], "doc_id long, text string")
+    assert [r[6] for r in got] == pytest.approx([r[6] for r in sorted((tuple(r) for r in lm_score.lm_scores(low).collect()), key=order)], rel=1e-9)
+    # Without it, the operator keeps the case: 6 is held out and only its end is known.
+    docs = spark.createDataFrame([(1, "word"), (6, "Word")], "doc_id long, text string")
+    known = [{r["doc_id"]: r["n_known"] for r in lm_score.lm_scores(docs, lower=x).collect()} for x in (False, True)]
+    assert known == [{1: 2, 6: 1}, {1: 2, 6: 2}]

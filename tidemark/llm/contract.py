@@ -89,7 +89,7 @@ def op4_near_dedup(spark, d):
 def op8_lm_score(spark, d):
     from tidemark.llm.lm_score import lm_scores
 
-    return lm_scores(table(spark, d, "documents"))
+    return lm_scores(table(spark, d, "documents"), lower=True)
 
 
 @query

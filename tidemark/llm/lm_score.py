@@ -50,9 +50,11 @@ def _unpack_counts(raw: bytes) -> np.ndarray:
 class _Block:
     """Tokens of a block's documents and its sorted distinct keys: unigrams have the lowest bit set, bigrams not."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, lower: bool):
         tokens, sizes = [], []
         for a, z, b, off in t.chunks(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())):
+            if lower:
+                b = t.LOWER[b]
             s, e, woff = t.words(b, off)
             w = t.mix(t.word_hashes(b, s, e), 11) | np.uint64(1)
             tokens.append(np.insert(w, woff[1:], END))
@@ -90,11 +92,11 @@ class _Block:
         return c, total[self.at[m : 2 * m]], context
 
 
-def _send(ranges: int):
+def _send(ranges: int, lower: bool):
     shift = np.uint64(64 - int(math.log2(ranges)))
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        x = _Block(table)
+        x = _Block(table, lower)
         part = (x.keys >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(x.keys), dtype=np.int64)
         cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, dtype=np.int64)
         end = np.append(cut[1:], len(part))
@@ -130,12 +132,12 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(context, 1))).astype(np.int64)
 
 
-def _deleted(left: pa.Table, right: pa.Table) -> pa.Table:
+def _deleted(left: pa.Table, right: pa.Table, lower: bool) -> pa.Table:
     """Binned deleted ratios of a block's training tokens: context bucket, log2 of bigram over unigram estimate (less the
     corpus size), log2 of the unigram count."""
     if not left.num_rows:
         return pa.table({k: pa.array([], pa.int64()) for k in ("bucket", "a", "b", "c")})
-    x = _Block(left)
+    x = _Block(left, lower)
     c, pair, context = (y[x.token_train].astype(float) for y in x.totals(list(zip(right.column("part").to_pylist(), right.column("totals").to_pylist()))))
     with np.errstate(divide="ignore", invalid="ignore"):
         a = np.log2((pair - 1) / ((context - 1) * (c - 1)))
@@ -176,13 +178,13 @@ def _model(table: pa.Table) -> pa.Table:
 _OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _score(left: pa.Table, right: pa.Table) -> pa.Table:
+def _score(left: pa.Table, right: pa.Table, lower: bool) -> pa.Table:
     if not left.num_rows:
         return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{k: pa.array([], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")}, **{k: pa.array([], pa.float64()) for k in ("base_score", "score")}})
     model = right.column("model").drop_null()[0].as_py()
     n, v = (int(y) for y in np.frombuffer(model[:16], dtype=np.int64))
     weight = np.frombuffer(model[16:], dtype=np.float64).reshape(-1, 3)
-    x = _Block(left)
+    x = _Block(left, lower)
     c, pair, context = x.totals(list(zip(right.column("part").to_pylist(), right.column("totals").to_pylist())))
     base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
     w = weight[_bucket(context)]
@@ -198,11 +200,12 @@ def _score(left: pa.Table, right: pa.Table) -> pa.Table:
     })
 
 
-def lm_scores(docs: DataFrame, mod: int = 10, rest: int = 0) -> DataFrame:
+def lm_scores(docs: DataFrame, mod: int = 10, rest: int = 0, lower: bool = False) -> DataFrame:
     """Score every whole text by the model learned from documents outside the held-out part.
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known, train_tokens, base_score and score (log10). Null text is empty;
     a null id is hashed as empty text; rows stay one to one; an empty table gives no rows; other columns are ignored.
+    With ``lower``, words that differ only in the case of A-Z are one token; without, they are different tokens.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -210,14 +213,14 @@ def lm_scores(docs: DataFrame, mod: int = 10, rest: int = 0) -> DataFrame:
     ranges = 1 << max(0, (blocks - 1).bit_length())
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("bigint")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(mod, rest).alias("held_out"), block.alias("block"))
-    sent = rows.groupBy("block").applyInArrow(_send(ranges), "part bigint, block bigint, keys binary, counts binary")
+    sent = rows.groupBy("block").applyInArrow(_send(ranges, lower), "part bigint, block bigint, keys binary, counts binary")
     schema = "block bigint, part bigint, totals binary, tokens bigint, kinds bigint"
     added = sent.groupBy("part").applyInArrow(_add, schema).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
-    bins = rows.groupBy("block").cogroup(added.where("block >= 0").groupBy("block")).applyInArrow(_deleted, "bucket bigint, a bigint, b bigint, c bigint")
+    bins = rows.groupBy("block").cogroup(added.where("block >= 0").groupBy("block")).applyInArrow(lambda left, right: _deleted(left, right, lower), "bucket bigint, a bigint, b bigint, c bigint")
     bins = bins.groupBy("bucket", "a", "b").agg(F.sum("c").alias("c"))
     size_of = lambda k, c: added.where("block < 0").agg(F.coalesce(F.sum(c), F.lit(0)).alias("c")).select(F.lit(k).cast("bigint").alias("bucket"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), "c")
     # The bins are bounded by their steps, whatever the corpus: one task can learn from them. The model is one value of 1 kB.
     every = bins.unionByName(size_of(-1, "tokens")).unionByName(size_of(-2, "kinds"))
     model = every.groupBy(F.lit(0).alias("one")).applyInArrow(_model, "model binary")
     given = added.where("block >= 0").select("*", F.when(F.col("part") == 0, model.scalar()).alias("model"))
-    return rows.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_score, _OUT)
+    return rows.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(lambda left, right: _score(left, right, lower), _OUT)
